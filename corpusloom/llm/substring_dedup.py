@@ -1,44 +1,37 @@
 """Exact removal of repeated word windows by super-k-mer partitioning.
 
 The minimiser of a window of WINDOW words is the least hash among its GRAM-grams. Consecutive windows of a document that
-share one travel as one packed string to the bucket of the minimiser, where equal windows must meet. There words get
-exact numbers, windows are sorted by a hash of these, and equal neighbours are compared word by word.
+share one travel as one packed string to the bucket of the minimiser, where equal windows must meet. There windows are
+sorted by a hash, and neighbours of one hash are compared word by word, each word by 128 bits and its length.
 
-Within a batch of documents windows are compared before anything is sent: one that a smaller doc_id of the batch has too
-is decided, so of a passage with a third of all rows each batch sends it once. Minimisers that are still in more than one
+Within a step of documents windows are compared before anything is sent: one that a smaller doc_id of the step has too
+is decided, so of a passage with a third of all rows each step sends it once. Minimisers that are in more than one
 of HOT windows (such as where a very frequent passage begins, after ever other words) don't gather in a bucket: their
-windows travel singly, to buckets by a hash of the whole window. Packed strings of one batch and bucket group are one
+windows travel singly, to buckets by a hash of the whole window. Packed strings of one step and bucket group are one
 compressed row.
 """
 
 from __future__ import annotations
 
-import hashlib
-import io
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, materialise
-from corpusloom.llm.near_dedup import WordHash, mixed
+from corpusloom.llm.bytewords import Splitter, Words, mixed
+from corpusloom.llm.common import WORD, materialise, worker_state
 
 WINDOW, GRAM = 13, 3
 #: A minimiser is hot when it has more than one in so many of all windows; so no more than this many are.
 HOT = 2_000
 #: Windows in a group of buckets, about, and groups at most.
-GROUP_WINDOWS, GROUPS = 1 << 20, 1 << 20
-#: Words of a map step.
-STEP_WORDS = 1 << 21
+GROUP_WINDOWS, GROUPS = 1 << 19, 1 << 20
 #: Null ids come after all others.
 LAST = np.iinfo(np.int64).max
 
 
-def word_hashes(ws: list[str], memo: WordHash) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
-
-
 def rolled(h: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Hashes of all k-grams of word hashes."""
     n = len(h) - k + 1
@@ -63,153 +56,143 @@ def minimisers(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nd
     return least, at
 
 
-def steps(batches):
-    """Documents (id, hash of the text, words) in steps of bounded size, each in ascending order of ids."""
-    held, n = [], 0
-    for batch in batches:
-        for i, x, t in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-            ws = WORD.findall(t or "")
-            held.append((LAST if i is None else i, x, ws))
-            n += len(ws)
-            if n >= STEP_WORDS:
-                yield sorted(held, key=lambda d: d[:2])
-                held, n = [], 0
-    if held:
-        yield sorted(held, key=lambda d: d[:2])
-
-
 class Step:
     """Windows of a step's documents, laid end to end."""
 
-    def __init__(self, docs, memo, window: int, gram: int):
-        self.ids = np.array([d[0] for d in docs], np.int64)
-        lengths = np.array([len(d[2]) for d in docs], np.int64)
-        self.begin = np.cumsum(np.concatenate([[0], lengths]))
-        h = np.concatenate([word_hashes(d[2], memo) for d in docs]) if docs else np.zeros(0, np.uint64)
-        self.windows = max(0, len(h) - window + 1)
-        whose = np.repeat(np.arange(len(docs)), lengths)
-        if self.windows:
-            self.at = np.flatnonzero(whose[: self.windows] == whose[window - 1 :])  # within one document
-            self.doc = whose[self.at]
-            least, place = minimisers(h, window, gram)
-            self.least, self.place = least[self.at], place[self.at]
-            self.h1, self.h2 = rolled(h, window, 0xA5A5)[self.at], rolled(h, window, 0xC3C3)[self.at]
-        else:
-            self.at = self.doc = self.place = np.zeros(0, np.int64)
-            self.least = self.h1 = self.h2 = np.zeros(0, np.uint64)
+    def __init__(self, w: Words, ids: np.ndarray, texts: np.ndarray, window: int, gram: int, full: bool = True):
+        self.words, self.ids, self.texts = w, ids, texts
+        h = w.hashes[0]
+        n = max(0, len(h) - window + 1)
+        self.at = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :]) if n else np.zeros(0, np.int64)  # within one document
+        self.doc = w.doc[self.at]
+        if not len(self.at):
+            self.place, self.least, self.h1, self.h2 = np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in range(3))
+            return
+        least, place = minimisers(h, window, gram)
+        self.least, self.place = least[self.at], place[self.at]
+        if full:
+            self.h1, self.h2 = rolled(h, window, 0xA5A5)[self.at], rolled(w.hashes[1], window, 0xC3C3)[self.at]
 
     def decided(self) -> np.ndarray:
         """Windows that a document with a smaller id in this step has too."""
         out = np.zeros(len(self.at), bool)
-        order = np.argsort(self.h1, kind="stable")  # documents are in ascending order, so the first of equals has the least id
-        h1, h2 = self.h1[order], self.h2[order]
+        if not len(out):
+            return out
+        order = np.argsort(self.h1)
+        h1, h2, ids = self.h1[order], self.h2[order], self.ids[self.doc[order]]
         new = np.ones(len(order), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        ids = self.ids[self.doc[order]] if len(order) else np.zeros(0, np.int64)
-        out[order] = ids > ids[first] if len(order) else False
+        heads = np.flatnonzero(new)
+        if len(heads) < len(order):
+            out[order] = ids > np.repeat(np.minimum.reduceat(ids, heads), np.diff(np.append(heads, len(order))))
         return out
 
 
-def _heavy(batches, window: int, gram: int):
-    """Minimisers that are frequent within a step, with their counts; the count of all windows under the key 0."""
-    memo = WordHash()
-    for docs in steps(batches):
-        s = Step(docs, memo, window, gram)
-        keep = ~s.decided()
-        keys, n = np.unique(s.least[keep], return_counts=True)
-        often = n >= max(2, keep.sum() // (2 * HOT))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(n[often], keep.sum()))], ["key", "n"])
+def steps(batches, window: int, gram: int, full: bool = True):
+    """Steps of batches of (doc_id, hash of the text, text)."""
+    split = worker_state("splitter_2", Splitter) if full else worker_state("splitter_1", lambda: Splitter(hashes=1))
+    for batch in batches:
+        ids = batch.column(0).fill_null(int(LAST)).to_numpy(zero_copy_only=False)
+        texts = batch.column(1).to_numpy(zero_copy_only=False)
+        for w in split(batch.column(2)):
+            yield Step(w, ids[w.first : w.first + w.rows], texts[w.first : w.first + w.rows], window, gram, full)
 
 
-def runs(mask_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of runs of equal neighbours."""
-    if not len(mask_of):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = np.flatnonzero(mask_of[1:] != mask_of[:-1]) + 1
-    return np.concatenate([[0], cut]), np.concatenate([cut, [len(mask_of)]])
+def _heavy(batches, window: int, gram: int):
+    """Minimisers that are frequent within a step, with their counts; the count of all windows under the key 0."""
+    for s in steps(batches, window, gram, full=False):
+        keys, n = np.unique(s.least, return_counts=True)
+        often = n >= max(2, len(s.at) // (2 * HOT))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(n[often], len(s.at)))], ["key", "n"])
 
 
-def pack(**arrays) -> bytes:
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays and their types as one compressed string."""
     import zstandard
 
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
+    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
-def unpack(data: bytes) -> dict:
+def unpack(data: bytes) -> list[np.ndarray]:
     import zstandard
 
-    return dict(np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data))))
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    at, out = 1 + 10 * raw[0], []
+    for i in range(raw[0]):
+        kind, n = struct.unpack_from("<2sQ", raw, 1 + 10 * i)
+        kind = np.dtype(kind.decode())
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * kind.itemsize
+    return out
 
 
 def _super_kmers(batches, hot, groups: int, window: int, gram: int):
-    """Rows (bucket group, payload): packed strings, and under group -1 the windows that are decided already."""
-    memo, hot = WordHash(), hot.value
-    for docs in steps(batches):
-        s = Step(docs, memo, window, gram)
-        gone = s.decided()
+    """Rows (bucket group, data): packed strings, and under groups below 0 the windows that are decided already."""
+    hot = hot.value
+    for s in steps(batches, window, gram):
+        w, gone = s.words, s.decided()
         out_group, out_data = [], []
         if gone.any():
             at = np.flatnonzero(gone)
-            out_group.append(-1 - int(s.ids[s.doc[at[0]]] % 1024))
-            out_data.append(pack(doc=s.ids[s.doc[at]], text=np.array([docs[d][1] for d in s.doc[at]], np.int64), at=s.at[at] - s.begin[s.doc[at]]))
+            doc = s.doc[at]
+            out_group.append(-1 - int(s.ids[doc[0]] % 1024))
+            out_data.append(pack(s.ids[doc], s.texts[doc], s.at[at] - w.begin[doc]))
         keep = np.flatnonzero(~gone)
         if len(keep):
-            single = np.isin(s.least[keep], hot)
-            place = np.where(single, -1 - keep, s.place[keep])  # runs of one place and adjoining windows are one string
-            glue = np.concatenate([[True], (np.diff(s.at[keep]) != 1) | (np.diff(place) != 0)])
-            a = np.flatnonzero(glue)
-            b = np.append(a[1:], len(keep))
+            single = np.isin(s.least[keep], hot) if len(hot) else np.zeros(len(keep), bool)
+            place = np.where(single, -1 - keep, s.place[keep])
+            # adjoining windows of one place are one string
+            a = np.flatnonzero(np.concatenate([[True], (np.diff(s.at[keep]) != 1) | (np.diff(place) != 0)]))
+            n = np.diff(np.append(a, len(keep)))
             first = keep[a]
             bucket = np.where(single[a], mixed(s.h1[first] ^ s.h2[first]), mixed(s.least[first]))
             group = (bucket % np.uint64(groups)).astype(np.int64)
-            doc, start, n = s.doc[first], s.at[first] - s.begin[s.doc[first]], b - a
             order = np.argsort(group, kind="stable")
-            ga, gb = runs(group[order])
-            texts = [d[2] for d in docs]
-            hashes = np.array([d[1] for d in docs], np.int64)
-            for x, y in zip(ga, gb, strict=True):
-                o = order[x:y]
-                blob = " ".join([" ".join(texts[d][i : i + k + window - 1]) for d, i, k in zip(doc[o].tolist(), start[o].tolist(), n[o].tolist(), strict=True)])
-                out_group.append(int(group[o[0]]))
-                out_data.append(pack(
-                    bucket=(bucket[o] >> np.uint64(32)).astype(np.uint32), doc=s.ids[doc[o]], text=hashes[doc[o]], start=start[o].astype(np.int32), n=n[o].astype(np.int16 if window < 1000 else np.int64),
-                    words=np.frombuffer(blob.encode("utf-8", "surrogatepass"), np.uint8),
-                ))
-        for i in range(0, len(out_group), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(out_group[i : i + 256], pa.int64()), pa.array(out_data[i : i + 256], pa.binary())], ["group", "data"])
-
-
-def repeated(parts: list[dict], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            group, first, n = group[order], first[order], n[order]
+            doc, at = s.doc[first], s.at[first]
+            start, raw = at - w.begin[doc], w.raw.tobytes()
+            cut = [raw[i:j] for i, j in zip(w.start[at].tolist(), w.end[at + n + window - 2].tolist(), strict=True)]
+            ids, texts = s.ids[doc], s.texts[doc]
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0])).tolist()
+            for x, y in zip(heads, [*heads[1:], len(group)], strict=True):
+                out_group.append(int(group[x]))
+                out_data.append(pack(ids[x:y], texts[x:y], start[x:y].astype(np.int32), n[x:y].astype(np.int32), np.frombuffer(b" ".join(cut[x:y]), np.uint8)))
+        for i in range(0, len(out_group), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(out_group[i : i + 64], pa.int64()), pa.array(out_data[i : i + 64], pa.binary())], ["group", "data"])
+
+
+def repeated(parts: list[list[np.ndarray]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, text, at) of the windows in a group of buckets that a document with a smaller id has too."""
-    ids: dict[bytes, int] = {}
-    number = ids.setdefault
-    flat = [np.fromiter((number(w, len(ids)) for w in p["words"].tobytes().split(b" ")), np.int32) for p in parts]
-    word = np.concatenate(flat)
-    doc, text, start, n = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in ("doc", "text", "start", "n"))
-    begin = np.concatenate([[0], np.cumsum(n + window - 1)])[:-1]
+    doc, text, start, n = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(4))
+    split, found = worker_state("splitter_2", Splitter), []
+    for p in parts:
+        w = split.step(p[4], np.array([0, len(p[4])]), 0)
+        found.append((*w.hashes, (w.end - w.start).astype(np.int32)))
+    a, b, length = (np.concatenate(x) for x in zip(*found, strict=True))
+    begin = np.cumsum(n + window - 1) - (n + window - 1)
     whose = np.repeat(np.arange(len(n)), n)
     inner = np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n)
     at = begin[whose] + inner
-    h = rolled(word.astype(np.uint64), window, 0x7F4A)[at]
-    order = np.lexsort((doc[whose], h))
+    h = rolled(a, window, 0x7F4A)[at]
+    order = np.argsort(h)
     hs = h[order]
     new = np.ones(len(order), bool)
     new[1:] = hs[1:] != hs[:-1]
     same = np.flatnonzero(~new)  # equal hashes: the words must be equal too
     odd = np.zeros(len(same), bool)
+    p, q = at[order[same]], at[order[same - 1]]
     for i in range(window):
-        odd |= word[at[order[same]] + i] != word[at[order[same - 1]] + i]
+        odd |= (a[p + i] != a[q + i]) | (b[p + i] != b[q + i]) | (length[p + i] != length[q + i])
     if odd.any():  # different windows of one hash: sort by the words themselves
-        order = np.lexsort((doc[whose], *(word[at + i] for i in range(window))))
+        order = np.lexsort([x[at + i] for i in range(window) for x in (a, b, length)])
         new[1:] = False
         for i in range(window):
-            new[1:] |= word[at[order[1:]] + i] != word[at[order[:-1]] + i]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            for x in (a, b, length):
+                new[1:] |= x[at[order[1:]] + i] != x[at[order[:-1]] + i]
+    heads = np.flatnonzero(new)
     ds = doc[whose[order]]
-    hit = order[ds > ds[first]]
+    hit = order[ds > np.repeat(np.minimum.reduceat(ds, heads), np.diff(np.append(heads, len(order))))] if len(order) else order
     return doc[whose[hit]], text[whose[hit]], start[whose[hit]] + inner[hit]
 
 
@@ -240,7 +223,7 @@ def _verdicts(batches, window: int):
         for g, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             part = unpack(data.as_py())
             if g < 0:
-                yield by_document(part["doc"], part["text"], part["at"])
+                yield by_document(*part)
                 continue
             if g != group and held:
                 yield done()
