@@ -13,22 +13,20 @@ pairs within the bucket's largest component. So no link between components is lo
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BROADCAST_ROWS, WORD, join_hot, materialise
+from corpusloom.llm.bytewords import Splitter, mixed
+from corpusloom.llm.common import BROADCAST_ROWS, join_hot, materialise, worker_state
 
 SHINGLE, THRESHOLD = 3, 85
-HASHES, ROWS, BITS = 128, 4, 4
+HASHES, ROWS, BITS = 160, 5, 4
 BANDS = HASHES // ROWS
 #: Estimates of less than the threshold by so much are dropped: over five standard errors.
 MARGIN = 0.17
-UPPER = re.compile("[A-Z]")
-LOWER = {c: c + 32 for c in range(65, 91)}
 #: Shingles in a step, so that its arrays stay in the cache.
 STEP = 1 << 17
 _SEED = np.random.default_rng(20_240_229)
@@ -36,39 +34,23 @@ FACTORS = (_SEED.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 MASKS = _SEED.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 
 
-def words(text: str | None) -> list[str]:
-    text = text or ""
-    return WORD.findall(text.lower() if text.isascii() else text.translate(LOWER))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHash(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= 500_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
-
-
-def shingle_set(ws: list[str], memo: WordHash, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the k-shingles; of fewer words, the hash of all."""
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
-    k = min(k, len(ws))
-    out = np.full(len(ws) - k + 1, k, np.uint64)
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-shingles of word hashes."""
+    out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(out) + i])
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(column: pa.Array, k: int):
+    """Sorted distinct hashes of each text's k-shingles, A-Z lower-cased; of fewer words, the hash of all; of none, none. In steps."""
+    for w in worker_state("splitter_lower", lambda: Splitter(lower=True, hashes=1))(column):
+        h, none = w.hashes[0], np.zeros(0, np.uint64)
+        every = shingles(h, k) if len(h) >= k else none
+        yield [
+            none if a == b else np.unique(every[a : b - k + 1]) if b - a >= k else shingles(h[a:b], b - a)
+            for a, b in zip(w.begin[:-1].tolist(), w.begin[1:].tolist(), strict=True)
+        ]
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -104,12 +86,9 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def _sketches(batches, shingle: int):
-    memo = WordHash()
     for batch in batches:
         n, digests, sigs, keys = [], [], [], []
-        texts = batch.column(1).to_pylist()
-        for at in range(0, len(texts), 256):
-            sets = [shingle_set(words(t), memo, shingle) for t in texts[at : at + 256]]
+        for sets in shingle_sets(batch.column(1), shingle):
             n += map(len, sets)
             digests += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -123,9 +102,8 @@ def _sketches(batches, shingle: int):
 
 
 def _sets(batches, shingle: int):
-    memo = WordHash()
     for batch in batches:
-        sets = [shingle_set(words(t), memo, shingle).tobytes() for t in batch.column(1).to_pylist()]
+        sets = [s.tobytes() for step in shingle_sets(batch.column(1), shingle) for s in step]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
 
