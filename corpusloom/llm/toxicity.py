@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import materialise
+
 #: Labelled rows that are learned from at most: those with the smallest hashes of doc_id.
 LABELLED = 20_000
 #: Share of toxic texts, and number of them, that an entry of the lexicon must be in; its log odds; entries at most.
-LEAST_SHARE, LEAST_TEXTS, LEAST_ODDS, ENTRIES = 0.008, 4, 2.2, 2_000
+LEAST_SHARE, LEAST_TEXTS, LEAST_ODDS, ENTRIES = 0.008, 4, 2.8, 2_000
 #: Lengths of beginnings and ends that are entries too.
-PARTS = (3, 4, 5, 6)
+PARTS = (4, 5, 6, 7, 8)
+#: How often a given label is taken to be right.
+LABEL_RIGHT = 0.985
 GROUPS = 6
 ROUNDS = 40
 PREDICT_FROM = 0.7
@@ -43,41 +47,59 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def _text_entries(batches, known):
-    """entry, toxic texts, other texts that have it, for each batch. known: entries to count, or all of toxic texts."""
+def _contexts(batches):
+    """(entry, context) of toxic texts: a context is the words on both sides, as a number."""
+    for batch in batches:
+        found = set()
+        for text in batch.column(0).to_pylist():
+            words = WORD.findall((text or "").lower())
+            for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                at = zlib.crc32(f"{before} {after}".encode())
+                found.update((e, at) for e in entries_of(w))
+        names, places = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(places, pa.int64())], ["entry", "context"])
+
+
+def _texts_with(batches, known):
+    """entry, and how many texts have it, for each batch."""
     for batch in batches:
-        count = {1: Counter(), 0: Counter()}
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(WORD.findall((text or "").lower()))
-            found = {e for w in words for e in entries_of(w)}
-            count[label].update(found if known is None else found & known.value)
-        names = [*(count[1].keys() | count[0].keys())]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([count[1][x] for x in names], pa.int64()), pa.array([count[0][x] for x in names], pa.int64())], ["entry", "toxic", "other"])
+        count = Counter()
+        for text in batch.column(0).to_pylist():
+            count.update({e for w in set(WORD.findall((text or "").lower())) for e in entries_of(w)} & known.value)
+        yield pa.RecordBatch.from_arrays([pa.array([*count], pa.string()), pa.array([*count.values()], pa.int64())], ["entry", "n"])
 
 
 def learn_lexicon(rows: DataFrame, n_toxic: int, n_other: int) -> dict[str, float]:
-    """Entries with their log odds. rows: text, label, of a bounded sample."""
+    """Entries with their log odds. rows: text, label, of a bounded sample.
+
+    In toxic texts an entry counts once for each different context, so near copies of one text make nothing of its
+    ordinary words.
+    """
     spark = rows.sparkSession
     least = max(LEAST_TEXTS, int(LEAST_SHARE * n_toxic))
-    shape = "entry string, toxic long, other long"
-    of_toxic = rows.filter("label = 1").mapInArrow(lambda it: _text_entries(it, None), shape)
-    often = of_toxic.groupBy("entry").agg(F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= least)
-    counts = {r.entry: r.toxic for r in often.orderBy(F.desc("toxic"), "entry").limit(50 * ENTRIES).collect()}
+    of_toxic = rows.filter("label = 1").select("text").mapInArrow(_contexts, "entry string, context long").distinct()
+    often = of_toxic.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    counts = {r.entry: min(r.n, n_toxic) for r in often.orderBy(F.desc("n"), "entry").limit(50 * ENTRIES).collect()}
     held = spark.sparkContext.broadcast(set(counts))
-    other = rows.filter("label = 0").mapInArrow(lambda it: _text_entries(it, held), shape).groupBy("entry").agg(F.sum("other").alias("other"))
-    others = {r.entry: r.other for r in other.collect()}
+    other = rows.filter("label = 0").select("text").mapInArrow(lambda it: _texts_with(it, held), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    others = {r.entry: r.n for r in other.collect()}
+    return choose(counts, others, n_toxic, n_other)
+
+
+def choose(counts: dict[str, int], others: dict[str, int], n_toxic: int, n_other: int) -> dict[str, float]:
+    """The entries that tell, with their log odds. A part of words is taken where no longer part of it tells nearly as much alone."""
     odds = {e: float(np.log((a + 0.5) / (n_toxic + 1)) - np.log((others.get(e, 0) + 0.5) / (n_other + 1))) for e, a in counts.items()}
-    good = sorted((e for e in odds if odds[e] >= LEAST_ODDS), key=lambda e: (-odds[e] * np.sqrt(counts[e]), e))
-    # an entry that a shorter one of its kind has found in no fewer texts adds nothing
-    keep, have = [], set()
-    for e in sorted(good, key=len):
+    good = {e for e in odds if odds[e] >= LEAST_ODDS}
+    weight = {e: odds[e] * np.sqrt(counts[e]) for e in good}
+    keep = set()
+    for e in good:
         kind, body = e.split(":", 1)
-        shorter = [f"head:{body[:k]}" for k in PARTS if k < len(body)] if kind != "tail" else [f"tail:{body[-k:]}" for k in PARTS if k < len(body)]
-        if not any(s in have and odds[s] >= odds[e] - 0.5 for s in shorter):
-            keep.append(e)
-            have.add(e)
-    keep.sort(key=lambda e: (-odds[e] * np.sqrt(counts[e]), e))
-    return {e: odds[e] for e in keep[:ENTRIES]}
+        up = [f"head:{body[:k]}" for k in PARTS if k < len(body)] if kind != "tail" else []
+        up += [f"tail:{body[-k:]}" for k in PARTS if k < len(body)] if kind != "head" else []
+        # what a shorter part in the lexicon tells already is left to that
+        if not any(u in good and weight[u] >= weight[e] for u in up):
+            keep.add(e)
+    return {e: odds[e] for e in sorted(keep, key=lambda e: (-weight[e], e))[:ENTRIES]}
 
 
 class Voters:
@@ -159,6 +181,8 @@ def label_model(v: np.ndarray, labels: np.ndarray) -> np.ndarray:
             shared = np.abs(left.T @ left / n / spread[:, None] / spread[None])
             scale = 1 / np.maximum(1, np.where(shared > 0.1, shared, 0).sum(1))
         ratio = np.log(table[:, 1] / table[:, 0])  # voter, vote
+        ratio[-1] = np.log(LABEL_RIGHT / (1 - LABEL_RIGHT)) * np.array([0, -1, 1])
+        scale[-1] = 1.0
         z = np.log(prior / (1 - prior)) + sum(scale[j] * ratio[j][v[:, j] + 1] for j in range(m))
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return q
@@ -209,8 +233,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_limit: int = LABELL
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select(F.col("doc_id"), F.col("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_limit)
     )
-    from corpusloom.llm.common import materialise
-
     rows = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", "doc_id"), "toxicity-sample")
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     dealt = rows.select("text", "label", "doc_id").repartition(32, "doc_id").select("text", "label")
@@ -218,10 +240,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_limit: int = LABELL
     held = spark.sparkContext.broadcast(lexicon)
     seen = rows.select(F.struct("doc_id", "label").alias("row"), "text")
     seen = seen.mapInArrow(lambda it: _features(it, held), f"row {seen.dtypes[0][1]}, x array<double>").orderBy("row.doc_id", "row.label", "x").limit(2 * train_limit).collect()
-    x = np.array([r.x for r in seen]).reshape(len(seen), -1)
+    x = np.array([r.x for r in seen]).reshape(len(seen), len(KINDS) * GROUPS + 5)
     label = np.array([r.row.label for r in seen], int)
-    width = len(KINDS) * GROUPS + 5
-    x = x.reshape(len(seen), width)
     weights = train(inputs(x), label_model(votes(x), label)).tolist()
     kind = dict(docs.dtypes)["doc_id"]
     scored = docs.select("doc_id", "text").mapInArrow(lambda it: _scores(it, held, weights), f"doc_id {kind}, score double")
