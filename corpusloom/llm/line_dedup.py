@@ -48,7 +48,7 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         here = F.struct("doc", "h", "line")
         if size >= min_lines:
             found.append(active.filter(here > F.col("first")).select("doc", "h", "line", F.lit(size).alias("size")))
-        if not active.limit(1).count():
+        if found and not active.limit(1).count():
             break
         right = active.select("doc", "h", (F.col("line") - size).alias("line"), F.col("rank").alias("right"))
         halves = active.join(right, ["doc", "h", "line"]).select("doc", "h", "line", F.struct(F.col("rank").alias("x"), F.col("right").alias("y")).alias("key"))
