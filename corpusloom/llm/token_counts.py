@@ -27,6 +27,15 @@ LIMIT = 2048
 PIECE = re.compile(r"[^ \t\n\r]+")
 SPACES = " \t\n\r"
 TAIL = re.compile(r"(.*[a-z])([.,]+)", re.DOTALL)
+#: Letters that NFC leaves alone, whatever is beside them, and whose case is a matter of the letter alone; with a tail of points.
+LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
 class WordTokenizer:
@@ -44,6 +53,7 @@ class WordTokenizer:
         self.path, self.lib = path, Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        self.model, self.letters = self.lib.model, byte_letters()
         self.special = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
         self.memo: dict[str, bytes] = {}
         self.core: dict[str, bytes] = {}
@@ -53,6 +63,16 @@ class WordTokenizer:
 
     def _piece(self, piece: str) -> bytes:
         """The ids of one piece as little-endian uint32. Case and a tail of points are taken off first where that changes nothing."""
+        if m := LATIN.fullmatch(piece):  # one pre-token of letters, and perhaps one of points: straight to the merges
+            word = m[1].lower()
+            found = self.core.get(word)
+            if found is None:
+                letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+                found = self._bytes([t.id for t in self.model.tokenize(letters)])
+                if len(self.core) >= MEMORY:
+                    self.core.clear()
+                self.core[word] = found
+            return found + self._piece(m[2]) if m[2] else found
         key = piece
         if piece.isascii() and "<" not in piece:  # the normaliser lowers ASCII letters one by one
             key = piece.lower()
