@@ -28,10 +28,11 @@ from corpusloom.llm.token_counts import tokenizer
 MAGIC, VERSION = b"CLTK", 1
 END_ID = 2
 #: Ids of a shard, about; blocks in step at least, if there are enough ids; block lengths.
-SHARD_IDS, LANES, BLOCK_LEAST, BLOCK_MOST = 1 << 22, 1024, 256, 4096
+SHARD_IDS, LANES, BLOCK_LEAST, BLOCK_MOST = 1 << 23, 2048, 256, 4096
 #: Bits of a context table's index, of the mixing precision and of the frequencies' total.
-TABLE_BITS, MIX_BITS, FREQ_BITS = 12, 30, 20
-RATE = 4
+TABLE_BITS, MIX_BITS, FREQ_BITS = 10, 30, 20
+#: Weights move by a 2 ** RATE-th towards TOP after a right prediction, else LOW, of 2 ** 16; confidences go up to CONFIDENT.
+RATE, TOP, LOW = 4, 63_000, 64
 CONFIDENT = 7
 U = np.uint64
 
@@ -51,161 +52,157 @@ def frequencies(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 class Model:
-    """Predictions and weights of `lanes` blocks."""
+    """Predictions and weights of `lanes` blocks.
+
+    A table entry is an id + 1, shifted by 3, and a confidence, which is 0 where nothing was seen yet. The weights of an entry
+    pair without prediction fall to LOW like those of any prediction that is wrong, so no lane needs a case of its own.
+    """
 
     def __init__(self, lanes: int):
-        self.row = np.arange(lanes, dtype=np.int64)
-        size = 1 << TABLE_BITS
-        self.one, self.two = np.zeros(lanes * size, np.uint32), np.zeros(lanes * size, np.uint32)  # id + 1 and confidence
-        states = (CONFIDENT + 1) ** 2 * 2
-        self.states = states
-        self.w2 = np.full(lanes * states, 1 << 14, np.int32)  # weights of order 2 and order 1, of 2 ** 16
-        self.w1 = np.full(lanes * states, 1 << 13, np.int32)
-        self.base, self.state_base = self.row * size, self.row * states
+        size, self.states = 1 << TABLE_BITS, (CONFIDENT + 1) ** 2 * 2
+        self.one, self.two = np.zeros(lanes * size, np.uint32), np.zeros(lanes * size, np.uint32)
+        self.weights = np.tile(np.array([[1 << 14, 1 << 13]], np.int32), (lanes * self.states, 1))  # of order 2 and order 1, of 2 ** 16
+        row = np.arange(lanes, dtype=np.int64)
+        self.base, self.state_base = row * size, row * self.states
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
-    def predict(self):
-        """Predicted ids of order 2 and 1 (+ 1, or 0) and the ranges they get of 2 ** MIX_BITS."""
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of 2 ** MIX_BITS that the predictions of order 2 and 1 get; id2 and id1 are the predicted ids + 1."""
         shift = np.uint32(32 - TABLE_BITS)
         self.at1 = self.base + ((self.last * np.uint32(2654435761)) >> shift)
         self.at2 = self.base + (((self.last * np.uint32(2246822519)) ^ (self.before * np.uint32(3266489917) + np.uint32(668265263))) * np.uint32(374761393) >> shift)
-        e1, e2 = self.one[self.at1], self.two[self.at2]
-        self.id1, self.id2 = e1 >> np.uint32(3), e2 >> np.uint32(3)
-        self.c1, self.c2 = e1 & np.uint32(7), e2 & np.uint32(7)
-        self.equal = self.id1 == self.id2
-        self.at = self.state_base + ((self.c2 * np.uint32(CONFIDENT + 1) + self.c1) * np.uint32(2) + self.equal)
-        self.g2, self.g1 = self.w2[self.at], self.w1[self.at]
-        p2 = np.where(self.id2 > 0, self.g2, 0).astype(np.uint64) << U(MIX_BITS - 16)
-        p1 = np.where((self.id1 > 0) & ~self.equal, self.g1, 0).astype(np.uint64) << U(MIX_BITS - 16)
-        return p2, p1
-
-    def learn(self, ids: np.ndarray) -> None:
-        """ids: what came, + 1."""
-        for table, at, known, sure in ((self.one, self.at1, self.id1, self.c1), (self.two, self.at2, self.id2, self.c2)):
-            right = known == ids
-            up = np.minimum(sure + right, CONFIDENT)
-            down = np.where(right, up, sure >> np.uint32(1))
-            new = np.where(right | (sure > 1), known, ids)
-            table[at] = (new << np.uint32(3)) | np.where(new == ids, np.maximum(down, 1), down).astype(np.uint32)
-        top, low = 63_000, 64
-        hit2 = (self.id2 == ids) & (self.id2 > 0)
-        hit1 = (self.id1 == ids) & ~hit2
-        g2 = self.g2 + (np.where(hit2, top, low) - self.g2 >> RATE)
-        g1 = self.g1 + (np.where(hit1, top, low) - self.g1 >> RATE)
-        over = np.maximum(g2 + g1 - 64_000, 0)
-        self.w2[self.at], self.w1[self.at] = np.where(self.id2 > 0, g2 - (over + 1 >> 1), self.g2), np.where(self.id1 > 0, g1 - (over + 1 >> 1), self.g1)
-        self.before, self.last = self.last, ids.astype(np.uint32)
+        self.e1, self.e2 = self.one[self.at1], self.two[self.at2]
+        self.id1, self.id2 = self.e1 >> np.uint32(3), self.e2 >> np.uint32(3)
+        self.c1, self.c2 = self.e1 & np.uint32(7), self.e2 & np.uint32(7)
+        self.at = self.state_base + ((self.c2 << np.uint32(4)) | (self.c1 << np.uint32(1)) | (self.id1 == self.id2))
+        self.g = self.weights[self.at]
+        wide = self.g.astype(np.uint64) << U(MIX_BITS - 16)
+        return wide[:, 0], wide[:, 1]
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """ids: what came, + 1; hit2, hit1: lanes where that was coded as the prediction of order 2 or 1."""
+        fresh = (ids << np.uint32(3)) | np.uint32(1)
+        for table, at, entry, known, sure in ((self.one, self.at1, self.e1, self.id1, self.c1), (self.two, self.at2, self.e2, self.id2, self.c2)):
+            weaker = np.where(sure > 1, entry - ((sure + np.uint32(1)) >> np.uint32(1)), fresh)
+            table[at] = np.where(known == ids, np.minimum(entry + np.uint32(1), entry | np.uint32(7)), weaker)
+        goal = np.full(self.g.shape, LOW, np.int32)
+        goal[hit2, 0] = TOP
+        goal[hit1, 1] = TOP
+        self.weights[self.at] = self.g + ((goal - self.g) >> RATE)
+        self.before, self.last = self.last, ids
+
+
+class Range:
+    """Lows and widths of the lanes' intervals, in 64 bits; 16 bits go out where they are settled."""
+
+    def __init__(self, lanes: int):
+        self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+
+    def narrow(self, start: np.ndarray, size: np.ndarray, unit: np.ndarray, over: bool) -> None:
+        """over: the last lane has no more ids and stays as it is."""
+        kept = self.low[-1], self.width[-1]
+        self.low += unit * start
+        self.width = unit * size
+        if over:
+            self.low[-1], self.width[-1] = kept
+
+    def settled(self) -> np.ndarray | None:
+        """Lanes whose high 16 bits can go out. A width that straddles for too long is cut, so its bits are settled too."""
+        out = (self.low ^ (self.low + self.width)) < U(1 << 48)
+        small = self.width < U(1 << 32)
+        if small.any():
+            small &= ~out
+            self.width = np.where(small, (~self.low + U(1)) & U((1 << 32) - 1), self.width)
+            out |= small
+        at = np.flatnonzero(out)
+        return at if len(at) else None
+
+    def shift(self, at: np.ndarray) -> None:
+        self.low[at] <<= U(16)
+        self.width[at] <<= U(16)
 
 
 def encode_blocks(ids: np.ndarray, block: int, freq: np.ndarray) -> list[np.ndarray]:
     """The code words of each block of `block` ids."""
     lanes = -(-len(ids) // block)
-    grid = np.zeros((block, lanes), np.uint32)
     flat = np.zeros(lanes * block, np.uint32)
     flat[: len(ids)] = ids
-    grid[:] = flat.reshape(lanes, block).T
+    grid = np.ascontiguousarray(flat.reshape(lanes, block).T)
     tail = len(ids) - (lanes - 1) * block
     cum = np.concatenate([[0], np.cumsum(freq)]).astype(np.uint64)
     cap = 3 * block + 16
     out, n = np.zeros(lanes * cap, np.uint16), np.zeros(lanes, np.int64)
     rows = np.arange(lanes, dtype=np.int64) * cap
-    low, range_ = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    model = Model(lanes)
+    model, span = Model(lanes), Range(lanes)
+    every = np.arange(lanes)
 
-    def emit(where):
-        out[(rows + n)[where]] = (low[where] >> U(48)).astype(np.uint16)
-        np.add(n, where, out=n)
+    def emit(at):
+        out[rows[at] + n[at]] = (span.low[at] >> U(48)).astype(np.uint16)
+        n[at] += 1
 
     for t in range(block):
         x = grid[t]
-        p2, p1 = model.predict()
-        rest = U(1 << MIX_BITS) - p2 - p1
         ids1 = x + np.uint32(1)
-        hit2 = (model.id2 == ids1) & (p2 > 0)
-        hit1 = ~hit2 & (model.id1 == ids1) & (p1 > 0)
-        a, b = cum[x], cum[x + 1]
-        start = np.where(hit2, U(0), np.where(hit1, p2, p2 + p1 + ((rest * a) >> U(FREQ_BITS))))
-        end = np.where(hit2, p2, np.where(hit1, p2 + p1, p2 + p1 + ((rest * b) >> U(FREQ_BITS))))
-        unit = range_ >> U(MIX_BITS)
-        if t >= tail:  # the last block is over
-            start[-1], end[-1] = 0, 0
-            unit_last = range_[-1]
-        low = low + unit * start
-        range_ = unit * (end - start)
-        if t >= tail:
-            range_[-1] = unit_last
-        while True:
-            settled = (low ^ (low + range_)) < U(1 << 48)
-            small = ~settled & (range_ < U(1 << 32))
-            if small.any():
-                range_ = np.where(small, (~low + U(1)) & U((1 << 32) - 1), range_)
-                settled |= small
-            if not settled.any():
-                break
-            emit(settled)
-            low = np.where(settled, low << U(16), low)
-            range_ = np.where(settled, range_ << U(16), range_)
-        model.learn(ids1)
+        p2, p1 = model.predict()
+        both = p2 + p1
+        rest = U(1 << MIX_BITS) - both
+        hit2 = model.id2 == ids1
+        hit1 = (model.id1 == ids1) & ~hit2
+        a, b = (rest * cum[x]) >> U(FREQ_BITS), (rest * cum[x + 1]) >> U(FREQ_BITS)
+        start = np.where(hit2, U(0), np.where(hit1, p2, both + a))
+        size = np.where(hit2, p2, np.where(hit1, p1, b - a))
+        span.narrow(start, size, span.width >> U(MIX_BITS), t >= tail)
+        while (at := span.settled()) is not None:
+            emit(at)
+            span.shift(at)
+        model.learn(ids1, hit2, hit1)
     for _ in range(4):
-        emit(np.ones(lanes, bool))
-        low = low << U(16)
+        emit(every)
+        span.low <<= U(16)
     return [out[r : r + k] for r, k in zip(rows.tolist(), n.tolist(), strict=True)]
 
 
 def decode_blocks(codes: np.ndarray, lengths: np.ndarray, total: int, block: int, freq: np.ndarray) -> np.ndarray:
     """The ids. codes: words of all blocks, one after the other; lengths: words of each."""
     lanes = len(lengths)
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    at_word = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     codes = np.concatenate([codes.astype(np.uint64), np.zeros(8, np.uint64)])
     cum = np.concatenate([[0], np.cumsum(freq)]).astype(np.uint64)
     slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
     tail = total - (lanes - 1) * block
-    at = begin.copy()
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
-        code = (code << U(16)) | codes[at]
-        at += 1
-    low, range_ = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+        code = (code << U(16)) | codes[at_word]
+        at_word += 1
     grid = np.zeros((block, lanes), np.uint32)
-    model = Model(lanes)
+    model, span = Model(lanes), Range(lanes)
     for t in range(block):
         p2, p1 = model.predict()
         both = p2 + p1
-        rest = U(1 << MIX_BITS) - both
-        unit = range_ >> U(MIX_BITS)
-        v = np.minimum((code - low) // unit, U((1 << MIX_BITS) - 1))
+        unit = span.width >> U(MIX_BITS)
+        v = np.minimum((code - span.low) // unit, U((1 << MIX_BITS) - 1))
         hit2 = v < p2
-        hit1 = ~hit2 & (v < both)
-        literal = ~(hit2 | hit1)
-        u = np.where(literal, v - both, U(0))
-        x = slots[np.minimum((((u + U(1)) << U(FREQ_BITS)) - U(1)) // rest, U((1 << FREQ_BITS) - 1)).astype(np.int64)]
-        x = np.where(hit2, model.id2 - np.uint32(1), np.where(hit1, model.id1 - np.uint32(1), x)).astype(np.uint32)
-        if t >= tail:
-            x[-1] = 0
-        a, b = cum[x], cum[x + 1]
-        start = np.where(hit2, U(0), np.where(hit1, p2, both + ((rest * a) >> U(FREQ_BITS))))
-        end = np.where(hit2, p2, np.where(hit1, both, both + ((rest * b) >> U(FREQ_BITS))))
-        if t >= tail:
-            start[-1], end[-1] = 0, 0
-            unit_last = range_[-1]
-        low = low + unit * start
-        range_ = unit * (end - start)
+        hit1 = (v < both) & ~hit2
+        ids1 = np.where(hit2, model.id2, model.id1)
+        start, size = np.where(hit2, U(0), p2), np.where(hit2, p2, p1)
+        lit = np.flatnonzero(v >= both)
+        if len(lit):
+            base, rest = both[lit], U(1 << MIX_BITS) - both[lit]
+            slot = (((v[lit] - base + U(1)) << U(FREQ_BITS)) - U(1)) // rest
+            x = slots[np.minimum(slot, U((1 << FREQ_BITS) - 1)).astype(np.int64)]
+            a, b = (rest * cum[x]) >> U(FREQ_BITS), (rest * cum[x + 1]) >> U(FREQ_BITS)
+            start[lit], size[lit] = base + a, b - a
+            ids1[lit] = x + np.uint32(1)
         if t >= tail:
-            range_[-1] = unit_last
-        while True:
-            settled = (low ^ (low + range_)) < U(1 << 48)
-            small = ~settled & (range_ < U(1 << 32))
-            if small.any():
-                range_ = np.where(small, (~low + U(1)) & U((1 << 32) - 1), range_)
-                settled |= small
-            if not settled.any():
-                break
-            code = np.where(settled, (code << U(16)) | codes[np.minimum(at, len(codes) - 1)], code)
-            np.add(at, settled, out=at)
-            low = np.where(settled, low << U(16), low)
-            range_ = np.where(settled, range_ << U(16), range_)
-        grid[t] = x
-        model.learn(x + np.uint32(1))
+            ids1[-1] = 1
+            hit2[-1], hit1[-1] = model.id2[-1] == 1, model.id1[-1] == 1 and model.id2[-1] != 1
+        grid[t] = ids1 - np.uint32(1)
+        span.narrow(start, size, unit, t >= tail)
+        while (at := span.settled()) is not None:
+            code[at] = (code[at] << U(16)) | codes[np.minimum(at_word[at], len(codes) - 1)]
+            at_word[at] += 1
+            span.shift(at)
+        model.learn(ids1, hit2, hit1)
     return grid.T.reshape(-1)[:total]
 
 
