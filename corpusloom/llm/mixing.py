@@ -4,15 +4,18 @@ The mix is a sequence of slots of BLOCK words each. Slot i belongs to the source
 frac((i + 1/2) * golden ratio) of the cumulative weights, so every stretch of the mix has nearly the
 target shares. The k-th slot of a source takes the k-th block of that source's words, in an order
 shuffled by hash, and begins again after the last block. All ranks and offsets are two-level prefix sums:
-by chunks first, then within a chunk, so that a source with a third of all rows is no single task.
+by chunks first, then within a chunk, so that a source with a third of all rows is no single task. A source of n documents
+has the square root of n chunks, so neither level meets more than that many rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import join_lookup, materialise, n_words_expr
+from corpusloom.llm.common import join_lookup, materialise, n_words_expr, unique_column
 
 GOLDEN = 0.6180339887498949
 #: Words in a slot, and the least number of slots; small corpora get smaller slots.
@@ -20,8 +23,6 @@ BLOCK, LEAST_SLOTS = 1024, 1 << 14
 #: Weights by rank of the source.
 WEIGHTS = (3, 1, 2)
 FACTOR, MOST = 1.5, 2.0
-#: Documents in a chunk of the shuffled order, about.
-CHUNK_DOCS = 20_000
 #: Slots in a chunk of the schedule.
 CHUNK_SLOTS = 1 << 16
 
@@ -49,10 +50,6 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, factor: float
     return out
 
 
-def _chunk(hash_: Column, n: int) -> Column:
-    return F.pmod(F.shiftright(hash_, 20), F.lit(n)).cast("int")
-
-
 def schedule(spark, cumulative: list[float], n_slots: int) -> DataFrame:
     """(slot, source_no, rank): the source of each slot and its rank among that source's slots."""
     bounds = F.array(*[F.lit(float(x)) for x in cumulative[:-1]]) if len(cumulative) > 1 else None
@@ -98,7 +95,7 @@ def taken(docs: DataFrame) -> DataFrame:
         cumulative.append(acc)
     known = {r.source: r for r in by_source}
     lookup = spark.createDataFrame(
-        [(i, s, s is None, int(known[s].source_size), float(plan[s]), max(1, -(-known[s].n_docs // CHUNK_DOCS))) for i, s in enumerate(names)],
+        [(i, s, s is None, int(known[s].source_size), float(plan[s]), max(1, math.isqrt(known[s].n_docs))) for i, s in enumerate(names)],
         "source_no int, name string, is_null boolean, source_size long, target double, n_chunks int",
     )
     keyed = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("is_null", F.col("source").isNull()).drop("source")
@@ -140,6 +137,7 @@ def mix(docs: DataFrame) -> DataFrame:
     A document of which the schedule takes at least half of its words once more is given once more. Documents
     that aren't taken, and those without words, go. doc_id must identify a row; other columns are kept.
     """
-    share = taken(docs).select("doc_id", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("_copies"))
-    share = share.groupBy("doc_id").agg(F.max("_copies").alias("_copies")).filter(F.col("_copies") > 0)
-    return docs.join(share, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy").select(docs.columns)
+    copies, copy = unique_column(docs, "copies"), unique_column(docs, "copy")
+    n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    share = taken(docs).groupBy("doc_id").agg(F.max(n).alias(copies)).filter(F.col(copies) > 0)
+    return docs.join(share, "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
