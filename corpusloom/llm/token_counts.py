@@ -126,23 +126,17 @@ def boundaries(encoding, base: int) -> list[tuple[int, int]]:
 def splice(encode, text: str, start: int, end: int, overlap: int) -> int | None:
     """The place in [end - overlap, end) where the encodings of text[start:end] and of what follows can be joined.
 
-    The place has white space before it and none at it; both encodings have the same tokens from it to the end of the
-    overlap but for those that touch the cut itself.
+    The place has white space before it and none at it, and both encodings have the same tokens from it to the last white
+    space of the overlap: what is cut at either end of the overlap lies outside.
     """
-    low = end - overlap
-    after = min(len(text), end + overlap)
-    a = [t for t in boundaries(encode(text[start:end]), start) if t[0] >= low]
-    b = [t for t in boundaries(encode(text[low:after]), low)]
-    rows_a, rows_b = set(a), set(b)
-    for x in range(low + 1, end):
-        if text[x - 1] in SPACES and text[x] not in SPACES:
-            same_a = {t for t in rows_a if x <= t[0] and t[1] < end}
-            same_b = {t for t in rows_b if x <= t[0] and t[1] < end}
-            clean = not any(t[0] < x < t[1] for t in rows_a | rows_b)
-            last = max((t[1] for t in same_a), default=x)
-            if clean and {t for t in same_a if t[1] <= last} - same_b == set() and {t for t in same_b if t[1] < last} - same_a == set():
-                return x
-    return None
+    low, after = end - overlap, min(len(text), end + overlap)
+    stop = next((i for i in range(end - 1, low, -1) if text[i] in SPACES), None)
+    if stop is None:
+        return None
+    a = {t for t in boundaries(encode(text[start:end]), start) if t[0] >= low and t[1] <= stop}
+    b = {t for t in boundaries(encode(text[low:after]), low) if t[1] <= stop}
+    differ = max((t[1] for t in a ^ b), default=low)
+    return next((x for x in range(max(low + 1, differ), stop) if text[x - 1] in SPACES and text[x] not in SPACES), None)
 
 
 def cuts(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
