@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom import schema
+from corpusloom import models, schema
 from corpusloom.sources import java, sections
 
 
@@ -55,6 +55,6 @@ def embed_text(model):
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.embed(texts.tolist()))
+        return pd.Series(models.embed(model, texts.tolist()))
 
     return embed

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom import schema
-from corpusloom.functions import udtf
 from corpusloom.sources import java, sections
 
 # Folders whose files are no sources; where tests lie; suffixes of documents; our own output.
@@ -89,5 +88,3 @@ def parsed_documents(files: DataFrame, max_chars: int = sections.MAX_CHARS) -> D
 
     return files.mapInPandas(run, PARSED)
 
-
-__all__ = ["document_files", "java_files", "parsed_documents", "parsed_java", "readable", "udtf"]

@@ -190,7 +190,7 @@ class Scanner:
 
     def anonymous(self, i: int, end: int) -> int | None:
         """The opening brace of an anonymous class created at i."""
-        j, deep = i + 1, 0
+        j = i + 1
         while j < end and (self.ts[j].kind == "name" or self.ts[j].text in ".<>,?&@"):
             j += 1
         if j < end and self.ts[j].text == "(":

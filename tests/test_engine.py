@@ -219,3 +219,11 @@ def test_settings_and_events(tmp_path, capsys):
         told["n"] = 3
     line = capsys.readouterr().err
     assert "secret" not in line and json.loads(line)["n"] == 3 and json.loads(line)["outcome"] == "ok"
+
+
+def test_embedding_udf(spark):
+    from corpusloom.functions.udtf import embed_text
+
+    df = spark.createDataFrame([("alpha beta",), (None,), ("alpha beta",)], "t string").select(embed_text(models.HashingEmbedder(16))("t").alias("v"))
+    a, b, c = (r.v for r in df.collect())
+    assert a == c != b and len(b) == 16
