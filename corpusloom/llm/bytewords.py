@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of texts that are taken at once; a longer text is taken alone.
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 21
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 U = np.uint64
 _IS_WORD = np.ones(256, bool)
@@ -37,7 +37,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << max(16, (n - 1).bit_length())
+            size = STEP_BYTES + 1 if n <= STEP_BYTES + 1 else n + n // 8
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)]), dtype=U) for b in (self.base, self.inverse))
         return self.up, self.down
 

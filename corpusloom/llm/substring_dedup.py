@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 from corpusloom.llm.bytewords import Splitter, Words, mixed
 from corpusloom.llm.common import WORD, materialise, worker_state
 
-WINDOW, GRAM = 13, 3
+WINDOW, GRAM = 13, 2
 #: A minimiser is hot when it has more than one in so many of all windows; so no more than this many are.
 HOT = 2_000
 #: Windows in a group of buckets, about, and groups at most.
-GROUP_WINDOWS, GROUPS = 1 << 19, 1 << 20
+GROUP_WINDOWS, GROUPS = 1 << 20, 1 << 20
+#: Of the compression of what is sent.
+LEVEL = 6
 #: Null ids come after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -111,7 +113,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     import zstandard
 
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -199,7 +201,7 @@ def repeated(parts: list[list[np.ndarray]], window: int) -> tuple[np.ndarray, np
 def by_document(doc: np.ndarray, text: np.ndarray, at: np.ndarray):
     """A batch with the windows of each document as runs (begin, end), in one array."""
     if not len(doc):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], ["doc", "text_hash", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.int32()))], ["doc", "text_hash", "runs"])
     order = np.lexsort((at, text, doc))
     doc, text, at = doc[order], text[order], at[order]
     cut = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(text) != 0)])
@@ -209,7 +211,7 @@ def by_document(doc: np.ndarray, text: np.ndarray, at: np.ndarray):
     docs = np.flatnonzero(cut[a])
     flat = np.stack([at[a], at[b] + 1], 1).reshape(-1).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(np.append(docs, len(a)) * 2, pa.int32()), pa.array(flat, pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(doc[a][docs]), pa.array(text[a][docs]), lists], ["doc", "text_hash", "runs"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[a][docs]), pa.array(text[a][docs].astype(np.int32)), lists], ["doc", "text_hash", "runs"])
 
 
 def _verdicts(batches, window: int):
@@ -265,7 +267,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     """
     spark = docs.sparkSession
     gram = min(gram, window)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("h"), "text")
     heavy = texts.mapInArrow(lambda it: _heavy(it, window, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     heavy = materialise(heavy, "window-counts")
     total = (heavy.filter("key = 0").agg(F.max("n")).first()[0]) or 0
@@ -275,7 +277,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
         groups = min(GROUPS, max(64, -(-total // GROUP_WINDOWS)))
     packed = texts.mapInArrow(lambda it: _super_kmers(it, held, groups, window, gram), "group long, data binary")
     sorted_ = packed.repartition("group").sortWithinPartitions("group")
-    found = sorted_.mapInArrow(lambda it: _verdicts(it, window), "doc long, text_hash long, runs array<int>")
+    found = sorted_.mapInArrow(lambda it: _verdicts(it, window), "doc long, text_hash int, runs array<int>")
     found = found.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_h")).agg(F.collect_list("runs").alias("_runs"))
     found = materialise(found, "window-verdicts")
     keyed = texts.withColumn("_doc", F.coalesce("doc_id", F.lit(int(LAST))))
