@@ -236,11 +236,24 @@ def _verdicts(batches, window: int):
         yield done()
 
 
+def _squeezed(batches):
+    """Texts compressed one by one: they are shuffled once, to meet what goes of them."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        data = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["row", "data"])
+
+
 def _removed(batches, window: int):
+    import zstandard
+
+    loose = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         n, gone, digests = [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            ws = WORD.findall(text or "")
+        for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            ws = WORD.findall(loose(data).decode("utf-8", "surrogatepass")) if data else []
             if spans:
                 hit = np.zeros(len(ws) + 1, np.int32)
                 for run in spans:
@@ -280,8 +293,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     found = sorted_.mapInArrow(lambda it: _verdicts(it, window), "doc long, text_hash int, runs array<int>")
     found = found.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_h")).agg(F.collect_list("runs").alias("_runs"))
     found = materialise(found, "window-verdicts")
-    keyed = texts.withColumn("_doc", F.coalesce("doc_id", F.lit(int(LAST))))
-    joined = keyed.join(found, (keyed["_doc"] == found["_doc"]) & keyed["h"].eqNullSafe(found["_h"]), "left").select("doc_id", "text", "_runs")
+    row = F.struct("doc_id", F.coalesce("doc_id", F.lit(int(LAST))).alias("_doc"), F.col("h").alias("_h")).alias("row")
+    keyed = texts.select(row, "text").mapInArrow(_squeezed, "row struct<doc_id:bigint,_doc:bigint,_h:int>, data binary").select("row.*", "data")
+    joined = keyed.join(found, ["_doc", "_h"], "left").select("doc_id", "data", "_runs")
     out = joined.mapInArrow(lambda it: _removed(it, window), "doc_id long, n_words long, n_removed long, kept_text string")
     return out
 
