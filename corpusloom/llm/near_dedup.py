@@ -8,6 +8,9 @@ confirmed on the full shingle sets.
 Documents with equal sets are one node. In each band bucket all nodes are first compared with one hub, drawn anew for
 each band. What that leaves apart is compared once more: pairs of one bucket that are in different components, but for
 pairs within the bucket's largest component. So no link between components is lost, and no group is paired out.
+Pairs whose sizes or prefixes forbid a link aren't made: sets that reach the threshold share a shingle among the first of
+each, in an order that puts shingles of very many documents last. So documents that share one very frequent passage, and
+nothing else, don't meet.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ SHINGLE, THRESHOLD = 3, 85
 HASHES, ROWS, BITS = 160, 5, 4
 BANDS = HASHES // ROWS
 #: Estimates of less than the threshold by so much are dropped: over five standard errors.
-MARGIN = 0.17
+MARGIN = 0.16
+#: A shingle in more than one in so many of the compared documents comes last.
+FREQUENT = 200
 #: Shingles in a step, so that its arrays stay in the cache.
 STEP = 1 << 17
 _SEED = np.random.default_rng(20_240_229)
@@ -107,6 +112,49 @@ def _sets(batches, shingle: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
 
+def _frequent(batches):
+    """Shingles that are in many sets of a step, with their counts; the number of sets under the key 0."""
+
+    def counted(sets):
+        keys, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n >= max(2, len(sets) // (2 * FREQUENT))
+        return pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(n[often], len(sets)))], ["key", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        for x in batch.column(0):
+            held.append(np.frombuffer(x.as_py(), np.uint64))
+            size += len(held[-1])
+            if size >= 8 * STEP:
+                yield counted(held)
+                held, size = [], 0
+    if held:
+        yield counted(held)
+
+
+def _prefixes(batches, last, threshold: int):
+    """The first shingles of each set, one more than it may lack: frequent ones come after all others."""
+    last = last.value
+    for batch in batches:
+        out = []
+        for x in batch.column(1).to_pylist():
+            s = np.frombuffer(x, np.uint64)
+            n = len(s) - -(-threshold * len(s) // 100) + 1
+            late = np.isin(s, last)
+            out.append(np.concatenate([s[~late], s[late]])[:n].astype(np.uint32).view(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["id", "prefix"])
+
+
+def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(id, prefix) of (id, set)."""
+    counts = materialise(sets.select("set").mapInArrow(_frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "near-frequent")
+    total = counts.filter("key = 0").agg(F.max("n")).first()[0] or 0
+    # a set of k shingles has k of them, so there are at most FREQUENT times the mean k
+    late = [r.key for r in counts.filter((F.col("key") != 0) & (F.col("n") > max(8, total // FREQUENT))).orderBy(F.desc("n"), "key").limit(200_000).collect()]
+    held = sets.sparkSession.sparkContext.broadcast(np.sort(np.array(late, np.int64).view(np.uint64)))
+    return materialise(sets.mapInArrow(lambda it: _prefixes(it, held, threshold), "id long, prefix array<int>"), "near-prefixes")
+
+
 def _confirmed(batches, threshold: int):
     for batch in batches:
         a, b, sa, sb = (batch.column(i).to_pylist() for i in range(4))
@@ -171,7 +219,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     sketches = materialise(texts.mapInArrow(lambda it: _sketches(it, shingle), "doc_id long, n_shingles long, digest binary, sig array<long>, bands array<long>"), "near-sketches")
     total = sketches.count()
     real = sketches.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    nodes = materialise(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-nodes")
+    nodes = materialise(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "near-nodes")
 
     rows = nodes.select("id", F.explode("bands").alias("key"))
     drawn = F.struct(F.xxhash64("id", "key").alias("h"), "id")
@@ -198,12 +246,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
         .agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k"), F.sum("n").alias("n")).filter("k > 1")
         .select("key", "n", F.col("top.component").alias("major"))
     )
-    open_ = join_hot(member, largest, "key", "n", total).join(nodes.select("id", "sig", "bands"), "id")
-    open_ = materialise(open_.select("key", "id", "component", "major", "sig", "bands"), "near-open")
-    x = open_.filter("component <> major").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"), F.col("bands").alias("ba"))
-    y = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), "major", F.col("sig").alias("sb"), F.col("bands").alias("bb"))
-    first = F.element_at(F.array_intersect("ba", "bb"), 1) == x["key"]  # each pair in the first bucket that both are in
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))) & (estimate(F.col("sa"), F.col("sb")) >= threshold / 100 - MARGIN) & first)
+    open_ = join_hot(member, largest, "key", "n", total).join(nodes.select("id", "sig", "bands", "size"), "id").join(prefixes(sets, threshold), "id")
+    open_ = materialise(open_.select("key", "id", "component", "major", "sig", "bands", "size", "prefix"), "near-open")
+    side = lambda t: [F.col(c).alias(f"{c}_{t}") for c in ("component", "sig", "bands", "size", "prefix")]
+    x = open_.filter("component <> major").select("key", F.col("id").alias("a"), *side("a"))
+    y = open_.select("key", "major", F.col("id").alias("b"), *side("b"))
+    may = (
+        (x["key"] == y["key"]) & (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("major")) | (F.col("a") < F.col("b")))
+        & (100 * F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")) & (estimate(F.col("sig_a"), F.col("sig_b")) >= threshold / 100 - MARGIN)
+        & F.arrays_overlap("prefix_a", "prefix_b")
+        & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == x["key"])  # each pair in the first bucket that both are in
+    )
+    met = x.join(y, may)
     more = materialise(confirm(met.select("a", "b").distinct(), sets, threshold), "near-links")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
