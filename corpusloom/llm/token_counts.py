@@ -22,7 +22,7 @@ from corpusloom.llm.common import worker_state
 #: Characters from which a document is huge, of a chunk, and of the first overlap.
 HUGE, CHUNK, OVERLAP = 1 << 16, 1 << 15, 1 << 9
 #: Pieces that a worker remembers; beyond it the memory starts again.
-MEMORY = 600_000
+MEMORY = 400_000
 LIMIT = 2048
 PIECE = re.compile(r"[^ \t\n\r]+")
 SPACES = " \t\n\r"

@@ -28,7 +28,7 @@ from corpusloom.llm.token_counts import tokenizer
 MAGIC, VERSION = b"CLTK", 1
 END_ID = 2
 #: Ids of a shard, about; blocks in step at least, if there are enough ids; block lengths.
-SHARD_IDS, LANES, BLOCK_LEAST, BLOCK_MOST = 1 << 23, 2048, 256, 4096
+SHARD_IDS, LANES, BLOCK_LEAST, BLOCK_MOST = 1 << 21, 1024, 256, 4096
 #: Bits of a context table's index, of the mixing precision and of the frequencies' total.
 TABLE_BITS, MIX_BITS, FREQ_BITS = 10, 30, 20
 #: Weights move by a 2 ** RATE-th towards TOP after a right prediction, else LOW, of 2 ** 16; confidences go up to CONFIDENT.
@@ -276,8 +276,8 @@ def _shards(batches, path: str, end_id: int):
         return pa.RecordBatch.from_pylist([{"first_doc": first, "part": part, "shard": no, "n_docs": len(docs), "n_tokens": len(ids), "doc_ids": packed, "data": write_shard(ids, lengths)}], _schema())
 
     for batch in batches:
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = lib.ids(t or "") + end
+        for d, t in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time
+            d, ids = d.as_py(), lib.ids(t.as_py() or "") + end
             docs.append(d), held.append(ids)
             n += len(ids) // 4
             if n >= SHARD_IDS:
@@ -306,7 +306,8 @@ def _documents(batches):
     import zstandard
 
     for batch in batches:
-        for part, shard, base, names, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for row in zip(*(batch.column(i) for i in range(5)), strict=True):  # one shard at a time
+            base, names, data = (x.as_py() for x in row[2:])
             ids, lengths = read_shard(data)
             raw = zstandard.ZstdDecompressor().decompress(names)
             doc = np.frombuffer(raw[: 8 * len(lengths)], np.int64)
