@@ -1,9 +1,10 @@
 """Mixing sources to target weights along a low-discrepancy schedule.
 
-The mix is a sequence of slots of BLOCK words each. Slot i belongs to the source under the point
+The mix is a sequence of slots of about BLOCK words each. Slot i belongs to the source under the point
 frac((i + 1/2) * golden ratio) of the cumulative weights, so every stretch of the mix has nearly the
-target shares. The k-th slot of a source takes the k-th block of that source's words, in an order
-shuffled by hash, and begins again after the last block. All ranks and offsets are two-level prefix sums:
+target shares. The slots of a source share its target evenly, to the word: the k-th takes the k-th block of that source's
+words, in an order shuffled by hash, and the words begin again after the last one. A source that no point meets (its
+target is below two slots then) has one slot at the end. All ranks and offsets are two-level prefix sums:
 by chunks first, then within a chunk, so that a source with a third of all rows is no single task. A source of n documents
 has the square root of n chunks, so neither level meets more than that many rows.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import join_lookup, materialise, n_words_expr, unique_column
 
 GOLDEN = 0.6180339887498949
-#: Words in a slot, and the least number of slots; small corpora get smaller slots.
+#: Words in a slot, about, and the least number of slots; small corpora get smaller slots.
 BLOCK, LEAST_SLOTS = 1024, 1 << 14
 #: Weights by rank of the source.
 WEIGHTS = (3, 1, 2)
@@ -84,7 +85,6 @@ def taken(docs: DataFrame) -> DataFrame:
     rows = materialise(rows, "sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")).collect()
     plan = targets([(r.source, r.source_size) for r in by_source])
-    total = sum(r.source_size for r in by_source)
     want = sum(plan.values())
     names = sorted((s for s in plan if s is not None)) + [None] * (None in plan)
     block = max(1, min(BLOCK, int(want // LEAST_SLOTS)))
@@ -94,9 +94,18 @@ def taken(docs: DataFrame) -> DataFrame:
         acc += plan[s] / want if want else 0
         cumulative.append(acc)
     known = {r.source: r for r in by_source}
+    slots = materialise(schedule(spark, cumulative, n_slots if want else 0), "slots")
+    met = {r.source_no: r.n for r in slots.groupBy("source_no").agg(F.count("*").alias("n")).collect()}
+    goals = [round(plan[s]) for s in names]
+    missed = [(n_slots + k, i, 0) for k, i in enumerate(i for i, g in enumerate(goals) if g and i not in met)]
+    if missed:
+        slots = slots.unionByName(spark.createDataFrame(missed, "slot long, source_no int, rank long"))
     lookup = spark.createDataFrame(
-        [(i, s, s is None, int(known[s].source_size), float(plan[s]), max(1, math.isqrt(known[s].n_docs))) for i, s in enumerate(names)],
-        "source_no int, name string, is_null boolean, source_size long, target double, n_chunks int",
+        [
+            (i, s, s is None, int(known[s].source_size), float(plan[s]), max(1, math.isqrt(known[s].n_docs)), goals[i], *divmod(goals[i], met.get(i, 1)))
+            for i, s in enumerate(names)
+        ],
+        "source_no int, name string, is_null boolean, source_size long, target double, n_chunks int, goal long, block long, longer long",
     )
     keyed = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("is_null", F.col("source").isNull()).drop("source")
     lookup = lookup.withColumn("name", F.coalesce("name", F.lit("")))
@@ -109,24 +118,23 @@ def taken(docs: DataFrame) -> DataFrame:
     placed = keyed.withColumn("upto", F.sum("size").over(inner)).join(starts, ["source_no", "chunk"])
     placed = placed.withColumn("start", F.col("chunk_start") + F.col("upto") - F.col("size"))
 
-    # how often each block of a source is taken: slots by (source, rank), folded onto the source's blocks
-    lengths = lookup.select("source_no", "source_size")
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block))
-    slots = join_lookup(schedule(spark, cumulative, n_slots) if total else spark.range(0).selectExpr("id slot", "0 source_no", "id rank"), lengths, ["source_no"], "inner")
-    times = (
-        slots.withColumn("block", F.pmod(F.col("rank"), n_blocks)).filter(F.col("rank") < 2 * n_blocks)
-        .groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # the source's words, again and again up to its goal, cut into its slots: the first `longer` have block + 1 words, the others block
+    long_words = F.col("longer") * (F.col("block") + 1)
+    slot_of = lambda x: F.when(x < long_words, F.call_function("div", x, F.col("block") + 1)).otherwise(F.col("longer") + F.call_function("div", x - long_words, F.greatest("block", F.lit(1))))
+    begin = F.col("rank") * F.col("block") + F.least("rank", "longer")
+    end = begin + F.col("block") + (F.col("rank") < F.col("longer")).cast("long")
+    row = ["source_no", "doc_id", "h", "tie", "start", "size", "source_size", "target"]
+    rounds = F.sequence(F.lit(0).cast("long"), F.call_function("div", F.greatest(F.col("goal") - 1, F.lit(0)), F.greatest("source_size", F.lit(1))))
+    reached = (F.col("size") > 0) & (F.col("start") < F.col("goal"))
+    passes = placed.filter(reached).withColumn("round", F.explode(rounds)).withColumn("low", F.col("round") * F.col("source_size") + F.col("start"))
+    passes = passes.withColumn("high", F.least(F.col("low") + F.col("size"), F.col("goal"))).filter("low < high")
+    pieces = passes.select(
+        *row, "low", "high", "block", "longer",
+        F.explode(F.sequence(slot_of(F.col("low")), slot_of(F.col("high") - 1))).alias("rank"),
     )
-    pieces = placed.filter(F.col("size") > 0).select(
-        "source_no", "chunk", "doc_id", "h", "tie", "start", "size", "source_size", "target",
-        F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"),
-    )
-    inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    got = (
-        pieces.join(times, ["source_no", "block"], "left").groupBy("source_no", "doc_id", "h", "tie", "start", "size", "source_size", "target")
-        .agg(F.sum(inside * F.coalesce("times", F.lit(0))).alias("taken"))
-    )
-    none = placed.filter(F.col("size") == 0)
+    inside = F.least(F.col("high"), end) - F.greatest(F.col("low"), begin)
+    got = pieces.join(slots.select("source_no", "rank"), ["source_no", "rank"]).groupBy(*row).agg(F.sum(inside).alias("taken"))
+    none = placed.filter(~reached)
     shape = lambda df, t: df.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", t.cast("long").alias("taken"))
     return shape(got, F.col("taken")).unionByName(shape(none, F.lit(0)))
 

@@ -399,6 +399,26 @@ def test_mixing_odd(odd, empty):
     assert mixing.mix(odd).columns == odd.columns
 
 
+def test_mixing_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 8)  # slots are as long as in a large corpus
+    sizes = [(f"big{i}", 40_000) for i in range(3)] + [(f"small{i:02}", 100 + 23 * i) for i in range(40)] + [(None, 1), ("none", 0)]
+    per = 50
+    docs, n = [], 0
+    for s, words in sizes:
+        for at in range(0, max(1, words), 1000 if words > 2000 else per):
+            docs.append((n, "w " * min(1000 if words > 2000 else per, words - at), s))
+            n += 1
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got, source = mixing.taken(docs).collect(), {r.doc_id: r.source for r in docs.collect()}
+    plan = mixing.targets(sizes)
+    assert sum(plan.values()) / mixing.LEAST_SLOTS > mixing.BLOCK and len(got) == n
+    sums = Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        sums[source[r.doc_id]] += r.taken
+    assert all(abs(sums[s] - plan[s]) <= 1 for s, _ in sizes)
+
+
 def test_schedule_has_low_discrepancy(spark):
     shares = [0.5, 0.8, 1.0]
     slots = mixing.schedule(spark, shares, 200_000).collect()
