@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import join_hot, materialise
 
-#: Lines that a repeated run has at least: a power of two.
-MIN_LINES = 2
+#: Lines that a repeated run has at least: a power of two. 1: a line on its own counts too, whatever its length.
+MIN_LINES = 1
 #: Null ids come after all others.
 LAST = np.iinfo(np.int64).max
 

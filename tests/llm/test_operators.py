@@ -312,6 +312,13 @@ def test_line_runs_odd(odd, empty):
         line_dedup.later_copies(odd, 3)
 
 
+def test_line_runs_of_one_line(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, "once"), (5, "once")]
+    got = line_dedup.remove_line_runs(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert table(got, "doc_id", "n_lines", "n_removed", "kept_text") == [(1, 3, 0, docs[0][1]), (2, 3, 1, "c\nd"), (3, 1, 1, ""), (4, 1, 0, "once"), (5, 1, 1, "")]
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------------
 
 
