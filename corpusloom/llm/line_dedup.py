@@ -6,6 +6,7 @@ the different runs that are met twice, in their sorted order, so the places of o
 with a common prefix of that length. A place whose run is met once leaves the race, so later rounds hold what repeats
 alone. In each interval of MIN_LINES lines or more the first place in the corpus stays; what it has in common with the
 later ones is deleted there. The intervals' union is the maximal repeated runs.
+With MIN_LINES of one the first round's places cover those of all later rounds.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     body = F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line", "body")
     lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), F.xxhash64("text").alias("h"), body)
     lines = lines.select("doc", "h", "line", F.struct(F.xxhash64("body").alias("x"), F.xxhash64(F.lit("line"), F.col("body")).alias("y")).alias("key"))
+    lines = materialise(lines.dropDuplicates(["doc", "h", "line"]), "lines")  # rows that repeat id and text are one place
     total = docs.count()
     size, active, found = 1, _ranked(lines, total), []
     while True:

@@ -319,6 +319,16 @@ def test_line_runs_of_one_line(spark):
     assert table(got, "doc_id", "n_lines", "n_removed", "kept_text") == [(1, 3, 0, docs[0][1]), (2, 3, 1, "c\nd"), (3, 1, 1, ""), (4, 1, 0, "once"), (5, 1, 1, "")]
 
 
+def test_line_runs_of_repeated_rows(spark):
+    text = "\n".join(f"line {i}" for i in range(8))
+    rows = [(1, text)] * 3 + [(None, text)] * 2 + [(2, "x\ny")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = line_dedup.later_copies(docs, 2).collect()
+    assert {r["size"] for r in runs} == {2, 4, 8}
+    assert len(runs) == 7 + 5 + 1
+    assert sorted(r.n_removed for r in line_dedup.remove_line_runs(docs).collect()) == [0, 0, 0, 0, 0, 8, 8]
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------------
 
 
