@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bytewords import Splitter, mixed
-from corpusloom.llm.common import BROADCAST_ROWS, join_hot, materialise, worker_state
+from corpusloom.llm.common import BROADCAST_ROWS, join_hot, materialise, unique_column, worker_state
 
 SHINGLE, THRESHOLD = 3, 85
 HASHES, ROWS, BITS = 160, 5, 4
@@ -103,7 +103,7 @@ def _sketches(batches, shingle: int):
             sigs += [sig[where[i]] if i in where else [] for i in range(len(sets))]
             keys += [key[where[i]] if i in where else [] for i in range(len(sets))]
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, longs), pa.array(keys, longs)], ["doc_id", "n_shingles", "digest", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, longs), pa.array(keys, longs)], ["doc_id", "h", "n_shingles", "digest", "sig", "bands"])
 
 
 def _sets(batches, shingle: int):
@@ -215,8 +215,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     linked if any of its texts is. A null doc_id takes no part: its component is null, and it isn't kept. An empty
     table gives an empty result. doc_id is an integer; columns but doc_id and text are not read.
     """
+    return _judged(docs, threshold, shingle).drop("h")
+
+
+def _judged(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
+    """near_duplicates, with the hash of each row's text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = materialise(texts.mapInArrow(lambda it: _sketches(it, shingle), "doc_id long, n_shingles long, digest binary, sig array<long>, bands array<long>"), "near-sketches")
+    sketches = materialise(texts.withColumn("h", F.xxhash64("text")).mapInArrow(lambda it: _sketches(it, shingle), "doc_id long, h long, n_shingles long, digest binary, sig array<long>, bands array<long>"), "near-sketches")
     total = sketches.count()
     real = sketches.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     nodes = materialise(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "near-nodes")
@@ -263,14 +268,21 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
         labels = components(edges.unionByName(more))
 
     named = nodes.select("digest", "id", "n").join(labels, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component_id"))
-    inside = join_hot(real.select("doc_id", "n_shingles", "digest"), named, "digest", "n", total)
+    inside = join_hot(real.select("doc_id", "h", "n_shingles", "digest"), named, "digest", "n", total)
     alone = sketches.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).withColumn("component_id", F.col("doc_id"))
-    out = inside.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+    out = inside.select("doc_id", "h", "n_shingles", "component_id").unionByName(alone.select("doc_id", "h", "n_shingles", "component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = 80, shingle: int = 5) -> DataFrame:
-    """One document of each component, with all columns: that of the least doc_id. Rows that repeat it give one row, and rows without doc_id go."""
-    kept = near_duplicates(docs, threshold, shingle).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """One document of each component, with all columns: that of the least doc_id.
+
+    Rows of one doc_id give one row. Where their texts differ, it is one whose own text is kept, not a duplicate of another
+    document's: a text with shingles before one without, then the least hash. Rows without doc_id go.
+    """
+    h = unique_column(docs, "_h64")
+    best = F.min(F.struct(F.col("n_shingles") == 0, "h")).alias("best")
+    kept = _judged(docs, threshold, shingle).filter("kept").groupBy("doc_id").agg(best).select(F.col("doc_id").alias("_kept"), F.col("best.h").alias("_kept_h64"))
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    found = hashed.join(kept, (hashed["doc_id"] == kept["_kept"]) & (hashed[h] == kept["_kept_h64"]), "left_semi").drop(h)
     return found.dropDuplicates(["doc_id"])

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import join_lookup, materialise
+from corpusloom.llm.common import join_lookup, materialise, unique_column
 from corpusloom.llm.text_stats import text_stats
 
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hashes of doc_id.
@@ -74,6 +74,11 @@ def _spread(sites: DataFrame, mean, prior) -> float:
     return float(np.clip(level / variance - 1, 1.0, 1e6)) if variance > 0 else 1e6
 
 
+def _judged_by(host: str, path: str) -> list:
+    """What a row's verdict hangs on: a hash of columns skips nulls, so their places are hashed too."""
+    return [F.col("text"), F.col("text").isNull(), F.col(host), F.col(host).isNull(), F.col(path), F.col(path).isNull()]
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", train_limit: int = LABELLED) -> DataFrame:
     """doc_id, doc_score, host_rate, path_rate, score, kept of each row.
 
@@ -82,14 +87,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     Null texts count as empty, null hosts and paths are sites of their own, repeated rows count each and are judged
     alike. Without labels of both classes all documents get the same evidence. An empty table gives an empty result.
     """
+    return _scored(docs, labels, host, path, train_limit).drop("_h64")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", train_limit: int = LABELLED) -> DataFrame:
+    """score_quality, with a hash of what the verdict hangs on."""
     # labels of one third of all ids are left out of the fit, for held-out measurement
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     sample = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
         .select("doc_id", F.col("quality").cast("double").alias("_good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_limit)
     )
-    stats = text_stats(docs.select("doc_id", F.col(host).alias("_host"), F.col(path).alias("_path"), "text"), "doc_id", "_host", "_path")
-    features = materialise(stats.select("doc_id", "_host", "_path", *[v.alias(k) for k, v in rates().items()]), "quality-rates")
+    known_by = F.xxhash64(*_judged_by(host, path)).alias("_h64")
+    stats = text_stats(docs.select("doc_id", F.col(host).alias("_host"), F.col(path).alias("_path"), known_by, "text"), "doc_id", "_host", "_path", "_h64")
+    features = materialise(stats.select("doc_id", "_host", "_path", "_h64", *[v.alias(k) for k, v in rates().items()]), "quality-rates")
     names = list(EDGES)
     known = features.join(F.broadcast(sample), "doc_id").orderBy("doc_id").limit(2 * train_limit).select(*names, "_good").collect()
     rows = np.array([[float(r[k]) for k in names] for r in known]).reshape(-1, len(names))
@@ -100,7 +111,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
         for e in edges:
             z = z + F.when(F.col(k) > e, float(w[at])).otherwise(0.0)
             at += 1
-    scored = features.select("doc_id", "_host", "_path", z.alias("z"))
+    scored = features.select("doc_id", "_host", "_path", "_h64", z.alias("z"))
     sites = scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(F.round(1 / (1 + F.exp(-F.col("z"))), 9).cast("decimal(28,9)")).cast("double").alias("good"))
     sites = materialise(sites, "quality-sites")
     total = sites.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
@@ -115,11 +126,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     found = join_lookup(key(scored), key(paths.select("_host", "_path", "host_rate", "path_rate")), ["_h", "_p", "_hn", "_pn"], "inner")
     odds = lambda p: F.log(p / (1 - p))
     score = 1 / (1 + F.exp(-(F.col("z") + odds(F.col("path_rate")) - float(np.log(rate / (1 - rate))))))
-    out = found.select("doc_id", F.round(1 / (1 + F.exp(-F.col("z"))), 9).alias("doc_score"), F.round("host_rate", 9).alias("host_rate"), F.round("path_rate", 9).alias("path_rate"), F.round(score, 9).alias("score"))
+    out = found.select("doc_id", "_h64", F.round(1 / (1 + F.exp(-F.col("z"))), 9).alias("doc_score"), F.round("host_rate", 9).alias("host_rate"), F.round("path_rate", 9).alias("path_rate"), F.round(score, 9).alias("score"))
     return out.withColumn("kept", F.col("score") >= KEEP_FROM)
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that score_quality keeps, with all their columns. Rows of one doc_id go or stay together: they stay if one of them is kept."""
-    kept = score_quality(docs, labels, **options).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+def keep_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", **options) -> DataFrame:
+    """The rows of docs that score_quality keeps, with all their columns, each judged by its own text and sites.
+
+    Rows with a null doc_id are kept or go like any others. Of rows with one doc_id, those go whose own text is rejected.
+    Rows that repeat in all of doc_id, text, host and path stay or go together, as often as they come.
+    """
+    of_row = unique_column(docs, "_of_row")
+    kept = _scored(docs, labels, host, path, **options).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("_h64").alias("_kept_h64")).distinct()
+    marked = docs.withColumn(of_row, F.xxhash64(*_judged_by(host, path)))
+    return marked.join(kept, marked["doc_id"].eqNullSafe(kept["_kept"]) & (marked[of_row] == kept["_kept_h64"]), "left_semi").drop(of_row)

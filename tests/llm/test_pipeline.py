@@ -102,3 +102,25 @@ def test_tokens_of_all_that_is_left(stages):
 def test_run_is_the_stages(spark, stages):
     found = corpus_pipeline.run(spark, stages[0]).collect()
     assert Counter(tuple(r) for r in found) == Counter(tuple(r) for r in stages[2][-1][1])
+
+
+def test_null_and_repeated_ids_are_judged_by_their_texts(spark):
+    from corpusloom.llm import near_dedup, quality_classifier
+
+    r = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in "bakedilomunaporisute" for b in ("n", "rs", "st", "lm")]
+    clean = [" ".join(r.choice(words, 60)) for _ in range(300)]
+    junk = [" ".join(w + "###" for w in t.split()) for t in clean]
+    rows = [(i, junk[i] if i % 3 == 0 else clean[i], "en", "s", 0) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    odd = [(None, clean[250], "en", "s", 1), (None, junk[251], "en", "s", 1), (500, clean[252], None, None, 1), (500, junk[253], None, None, 1)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(x.doc_id, x.text) for x in quality_classifier.keep_quality(docs, labels).collect()]
+    assert sorted(kept, key=str) == sorted([(d, t) for d, t, *_ in rows + odd if "###" not in t], key=str)
+
+    repeated = [(i, clean[i]) for i in range(20)] + [(100 + i, clean[i + k]) for i in range(20) for k in (0, 100, 100)] + [(200, ""), (200, clean[200]), (None, clean[201])]
+    docs = spark.createDataFrame(repeated, "doc_id long, text string")
+    want = [(i, clean[i]) for i in range(20)] + [(100 + i, clean[100 + i]) for i in range(20)] + [(200, clean[200])]
+    for part in (docs, docs.repartition(5)):
+        kept = [tuple(x) for x in near_dedup.drop_near_duplicates(part).collect()]
+        assert sorted(kept) == sorted(want)
