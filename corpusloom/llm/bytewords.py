@@ -37,7 +37,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = STEP_BYTES + 1 if n <= STEP_BYTES + 1 else n + n // 8
+            size = n + n // 8
             self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)]), dtype=U) for b in (self.base, self.inverse))
         return self.up, self.down
 
@@ -57,8 +57,8 @@ class Words:
 
 
 class Splitter:
-    def __init__(self, lower: bool = False, hashes: int = 2):
-        self.lower = lower
+    def __init__(self, lower: bool = False, hashes: int = 2, step_bytes: int = STEP_BYTES):
+        self.lower, self.step_bytes = lower, step_bytes
         self.powers = [Powers(b) for b in BASES[:hashes]]
 
     def __call__(self, column: pa.Array):
@@ -72,7 +72,7 @@ class Splitter:
         raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         a = 0
         while a < len(column):
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + STEP_BYTES, "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + self.step_bytes, "right")) - 1)
             yield self.step(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a)
             a = b
 

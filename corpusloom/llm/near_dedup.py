@@ -5,12 +5,12 @@ low BITS bits are kept and packed into longs, and bit counts over two packed sig
 for the BITS-bit values that agree by chance. Candidates well below the threshold by that estimate go, the others are
 confirmed on the full shingle sets.
 
-Documents with equal sets are one node. In each band bucket all nodes are first compared with one hub, drawn anew for
-each band. What that leaves apart is compared once more: pairs of one bucket that are in different components, but for
-pairs within the bucket's largest component. So no link between components is lost, and no group is paired out.
-Pairs whose sizes or prefixes forbid a link aren't made: sets that reach the threshold share a shingle among the first of
-each, in an order that puts shingles of very many documents last. So documents that share one very frequent passage, and
-nothing else, don't meet.
+Documents with equal sets are one node. In each band bucket all nodes are first compared with one hub, the node whose id has
+the least hash, so that buckets of one cluster mostly share their hub. Buckets that this leaves in several components
+are then compared in full, but for pairs within the bucket's largest component: the members' sets go to a task as one block, or
+where they are many, as pairs of blocks, and all intersections of a block come from products of its incidence matrix. A task
+returns a spanning forest of the links that it finds. So no link between components is lost, no pair is ever a row, and each
+set is sent once a block.
 """
 
 from __future__ import annotations
@@ -23,15 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bytewords import Splitter, mixed
-from corpusloom.llm.common import BROADCAST_ROWS, join_hot, materialise, unique_column, worker_state
+from corpusloom.llm.common import BROADCAST_ROWS, bound_batches, join_hot, materialise, unique_column, worker_state
 
 SHINGLE, THRESHOLD = 3, 85
 HASHES, ROWS, BITS = 160, 5, 4
 BANDS = HASHES // ROWS
 #: Estimates of less than the threshold by so much are dropped: over five standard errors.
 MARGIN = 0.16
-#: A shingle in more than one in so many of the compared documents comes last.
-FREQUENT = 200
+#: Members and shingles of a group of a bucket that are compared in one task; of two blocks where a bucket has more.
+GROUP, WEIGHT = 2048, 1 << 20
+#: Columns of an incidence matrix, rows of a strip of estimates; up to so many pairs are confirmed one by one.
+COLUMNS, STRIP, FEW = 2048, 128, 64
 #: Shingles in a step, so that its arrays stay in the cache.
 STEP = 1 << 17
 _SEED = np.random.default_rng(20_240_229)
@@ -49,7 +51,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, k: int):
     """Sorted distinct hashes of each text's k-shingles, A-Z lower-cased; of fewer words, the hash of all; of none, none. In steps."""
-    for w in worker_state("splitter_lower", lambda: Splitter(lower=True, hashes=1))(column):
+    for w in worker_state("splitter_lower_near", lambda: Splitter(lower=True, hashes=1, step_bytes=1 << 19))(column):
         h, none = w.hashes[0], np.zeros(0, np.uint64)
         every = shingles(h, k) if len(h) >= k else none
         yield [
@@ -108,68 +110,12 @@ def _sketches(batches, shingle: int):
 
 def _sets(batches, shingle: int):
     for batch in batches:
-        sets = [s.tobytes() for step in shingle_sets(batch.column(1), shingle) for s in step]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+        at = 0
+        for step in shingle_sets(batch.column(1), shingle):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(step)), pa.array([s.tobytes() for s in step], pa.binary())], ["id", "set"])
+            at += len(step)
 
 
-def _frequent(batches):
-    """Shingles that are in many sets of a step, with their counts; the number of sets under the key 0."""
-
-    def counted(sets):
-        keys, n = np.unique(np.concatenate(sets), return_counts=True)
-        often = n >= max(2, len(sets) // (2 * FREQUENT))
-        return pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(n[often], len(sets)))], ["key", "n"])
-
-    held, size = [], 0
-    for batch in batches:
-        for x in batch.column(0):
-            held.append(np.frombuffer(x.as_py(), np.uint64))
-            size += len(held[-1])
-            if size >= 8 * STEP:
-                yield counted(held)
-                held, size = [], 0
-    if held:
-        yield counted(held)
-
-
-def _prefixes(batches, last, threshold: int):
-    """The first shingles of each set, one more than it may lack: frequent ones come after all others."""
-    last = last.value
-    for batch in batches:
-        out = []
-        for x in batch.column(1).to_pylist():
-            s = np.frombuffer(x, np.uint64)
-            n = len(s) - -(-threshold * len(s) // 100) + 1
-            late = np.isin(s, last)
-            out.append(np.concatenate([s[~late], s[late]])[:n].astype(np.uint32).view(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["id", "prefix"])
-
-
-def prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """(id, prefix) of (id, set)."""
-    counts = materialise(sets.select("set").mapInArrow(_frequent, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "near-frequent")
-    total = counts.filter("key = 0").agg(F.max("n")).first()[0] or 0
-    # a set of k shingles has k of them, so there are at most FREQUENT times the mean k
-    late = [r.key for r in counts.filter((F.col("key") != 0) & (F.col("n") > max(8, total // FREQUENT))).orderBy(F.desc("n"), "key").limit(200_000).collect()]
-    held = sets.sparkSession.sparkContext.broadcast(np.sort(np.array(late, np.int64).view(np.uint64)))
-    return materialise(sets.mapInArrow(lambda it: _prefixes(it, held, threshold), "id long, prefix array<int>"), "near-prefixes")
-
-
-def _confirmed(batches, threshold: int):
-    for batch in batches:
-        a, b, sa, sb = (batch.column(i).to_pylist() for i in range(4))
-        good = []
-        for x, y in zip(sa, sb, strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if 100 * min(len(p), len(q)) < threshold * max(len(p), len(q)):
-                good.append(False)
-                continue
-            both = np.sort(np.concatenate([p, q]), kind="stable")
-            same = int((both[1:] == both[:-1]).sum())
-            good.append(100 * same >= threshold * (len(p) + len(q) - same))
-        mask = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(mask), pa.array(b, pa.int64()).filter(mask)], ["a", "b"])
-
 
 def estimate(sig_a: Column, sig_b: Column) -> Column:
     """Similarity from packed signatures: the share of equal BITS-bit values, corrected for chance."""
@@ -184,12 +130,178 @@ def estimate(sig_a: Column, sig_b: Column) -> Column:
     return (1 - differ / HASHES - chance) / (1 - chance)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(lambda it: _confirmed(it, threshold), "a long, b long").distinct()
+def agree(sets_a: np.ndarray, sets_b: np.ndarray, threshold: int) -> bool:
+    """Whether two sets of hashes, sorted and distinct, reach the threshold."""
+    if 100 * min(len(sets_a), len(sets_b)) < threshold * max(len(sets_a), len(sets_b)):
+        return False
+    both = np.sort(np.concatenate([sets_a, sets_b]), kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= threshold * (len(both) - same)
+
+
+def estimates(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
+    """[a, b] similarities from packed signatures [set, long], as `estimate` gives them."""
+    ones = np.uint64(int("1" * 16, 16))
+    differ = np.zeros((len(sig_a), len(sig_b)), np.int32)
+    for i in range(sig_a.shape[1]):
+        x = sig_a[:, i, None] ^ sig_b[None, :, i]
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        x &= ones
+        differ += np.bitwise_count(x)
+    chance = 2.0**-BITS
+    return (1 - differ / HASHES - chance) / (1 - chance)
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """[i, j] sizes of the intersections of all pairs of sets: the product of the incidence matrix with itself, COLUMNS at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[column] > 1  # what is in one set only is in no intersection
+    row, column = row[shared], (np.cumsum(n > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.int32)
+    cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + 1 + COLUMNS, COLUMNS))
+    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - k * COLUMNS] = 1
+        out += (part @ part.T).astype(np.int32)
+    return out
+
+
+def forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """(root, member) pairs that connect what a symmetric matrix of links connects."""
+    left, out = np.ones(len(link), bool), []
+    for root in np.flatnonzero(link.any(1)).tolist():
+        if not left[root]:
+            continue
+        left[root] = False
+        front = np.array([root])
+        while len(front):
+            front = np.flatnonzero(link[front].any(0) & left)
+            left[front] = False
+            out += [(root, x) for x in front.tolist()]
+    return out
+
+
+def linked(labels: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of places, of the links between members of different labels."""
+    size = np.array([len(s) for s in sets])
+    may = np.empty((len(sets), len(sets)), bool)
+    for a in range(0, len(sets), STRIP):
+        at = slice(a, a + STRIP)
+        small, large = np.minimum(size[at, None], size), np.maximum(size[at, None], size)
+        may[at] = (labels[at, None] != labels) & (100 * small >= threshold * large)
+        if may[at].any():
+            may[at] &= estimates(sigs[at], sigs) >= threshold / 100 - MARGIN
+    some = np.flatnonzero(may.any(1))
+    if not len(some):
+        return []
+    may = may[np.ix_(some, some)]
+    if may.sum() <= 2 * FEW:
+        link = np.zeros(may.shape, bool)
+        for i, j in np.argwhere(np.triu(may)).tolist():
+            link[i, j] = link[j, i] = agree(sets[some[i]], sets[some[j]], threshold)
+    else:
+        same = intersections([sets[i] for i in some.tolist()])
+        link = may & (100 * same >= threshold * (size[some, None] + size[some] - same))
+    return [(int(some[i]), int(some[j])) for i, j in forest(link)]
+
+
+def binaries(column: pa.Array) -> list[np.ndarray]:
+    """The values of a binary column without nulls as arrays of 64-bit numbers, not copied."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return [data[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _groups(batches, keys: int):
+    """Rows with equal values in the first columns, which are longs: (values, lists of the other columns' parts)."""
+    held, rest = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(key[:, a].tolist())
+            if rest and held != now:
+                yield held, rest
+                rest = []
+            held = now
+            rest.append(batch.slice(a, b - a))
+    if rest:
+        yield held, rest
+
+
+def _pairs_batch(a, b):
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _with_hub(batches, threshold: int):
+    """(hub, id) of members that reach the threshold with a set of their hub. A group's rows of the hub come first."""
+    for (hub, _), parts in _groups(batches, 2):
+        own, found = [], []
+        for part in parts:
+            for member, s in zip(part.column(2).to_pylist(), binaries(part.column(3)), strict=True):
+                if member == hub:
+                    own.append(s)
+                elif any(agree(s, x, threshold) for x in own):
+                    found.append(member)
+        yield _pairs_batch([hub] * len(found), found)
+
+
+def _in_blocks(batches, threshold: int):
+    """Pairs of components that a link connects, from groups of members: (key, part) and component, sig and set of each."""
+    for _, parts in _groups(batches, 2):
+        labels = np.concatenate([x.column(2).to_numpy() for x in parts])
+        if (labels == labels[0]).all():
+            continue
+        sigs = np.concatenate([x.column(3).flatten().to_numpy().reshape(x.num_rows, -1) for x in parts]).view(np.uint64)
+        found = linked(labels, sigs, [s for x in parts for s in binaries(x.column(4))], threshold)
+        if found:
+            yield _pairs_batch(labels[[i for i, _ in found]], labels[[j for _, j in found]])
+
+
+def hub_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (hub, id) whose sets reach the threshold, as (a, b). A hub's set is sent once to each GROUP of its members."""
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"), F.count("*").alias("n"))
+    parts = materialise(parts, "near-hubs")
+    dealt = join_hot(pairs, parts, "hub", "n", pairs.count()).select("hub", F.expr("pmod(xxhash64(id), parts)").alias("part"), "id")
+    own = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.col("hub").alias("id"))
+    rows = dealt.unionByName(own).join(sets, "id").select("hub", "part", "id", "set")
+    grouped = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
+    return grouped.mapInArrow(lambda it: _with_hub(it, threshold), "a long, b long")
+
+
+def open_links(member: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int, total: int) -> DataFrame:
+    """Pairs (a, b) of components that links connect within a bucket, from (key, id, component, size) of its members.
+
+    Buckets with the same members are compared once. A bucket of more than GROUP members or WEIGHT shingles is dealt into blocks, apart for its
+    largest component and the rest; groups are all pairs of blocks but those of the largest component with itself.
+    """
+    tally = member.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"), *(F.sum(F.expr(f"xxhash64(id, {i}) div 4294967296")).alias(f"f{i}") for i in range(3)))
+    top = (
+        tally.groupBy("key").agg(F.max(F.struct("n", "size", "component")).alias("top"), F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("size").alias("size"), *(F.sum(f"f{i}").alias(f"f{i}") for i in range(3)))
+        .filter("k > 1").groupBy("f0", "f1", "f2", "n", "size").agg(F.min(F.struct("key", "top")).alias("one"))
+    )
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n * 2 / GROUP), F.ceil(size * 2 / WEIGHT)).cast("int")
+    few = (F.col("n") <= GROUP) & (F.col("size") <= WEIGHT)
+    plan = top.select(
+        F.col("one.key").alias("key"), "n", F.col("one.top.component").alias("major"), few.alias("few"),
+        blocks(F.col("one.top.n"), F.col("one.top.size")).alias("majors"), blocks(F.col("n") - F.col("one.top.n"), F.col("size") - F.col("one.top.size")).alias("minors"),
+    )
+    dealt = join_hot(member, materialise(plan, "near-open"), "key", "n", total)
+    block = F.expr("cast(pmod(xxhash64(id), if(component = major, majors, minors)) as int)")
+    parts = F.expr("""case when few then array(0L)
+        when component = major then transform(sequence(0, minors - 1), i -> i * 1000000000L + minors + block)
+        else concat(transform(filter(sequence(0, minors - 1), i -> i <> block), i -> least(i, block) * 1000000000L + greatest(i, block)),
+                    transform(sequence(minors, minors + majors - 1), i -> block * 1000000000L + i)) end""")
+    groups = dealt.withColumn("block", block).select("key", F.explode(parts).alias("part"), "id", "component")
+    rows = groups.join(nodes.select("id", "sig"), "id").join(sets, "id").select("key", "part", "component", "sig", "set")
+    grouped = rows.repartition("key", "part").sortWithinPartitions("key", "part")
+    return grouped.mapInArrow(lambda it: _in_blocks(it, threshold), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,52 +332,38 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 
 def _judged(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
     """near_duplicates, with the hash of each row's text."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = materialise(texts.withColumn("h", F.xxhash64("text")).mapInArrow(lambda it: _sketches(it, shingle), "doc_id long, h long, n_shingles long, digest binary, sig array<long>, bands array<long>"), "near-sketches")
     total = sketches.count()
     real = sketches.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     nodes = materialise(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "near-nodes")
 
-    rows = nodes.select("id", F.explode("bands").alias("key"))
-    drawn = F.struct(F.xxhash64("id", "key").alias("h"), "id")
-    buckets = materialise(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(drawn).alias("hub")).filter("n > 1").select("key", "n", F.col("hub.id").alias("hub")), "near-buckets")
-    members = materialise(join_hot(rows, buckets, "key", "n", total).select("key", "id", "hub"), "near-members")
+    rows = nodes.select("id", "size", F.explode("bands").alias("key"))
+    places = nodes.count() * BANDS
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("hub")).filter("n > 1")
+    buckets = materialise(buckets.select("key", "n", F.col("hub.id").alias("hub")), "near-buckets")
+    members = materialise(join_hot(rows, buckets, "key", "n", places).select("key", "id", "size", "hub"), "near-members")
     needed = members.select("id").distinct()
     few = needed.count() <= BROADCAST_ROWS
     picked = texts.join(F.broadcast(needed) if few else needed, texts["doc_id"] == needed["id"], "left_semi")
-    sets = materialise(picked.mapInArrow(lambda it: _sets(it, shingle), "id long, set binary").distinct(), "near-sets")
+    sets = materialise(picked.mapInArrow(lambda it: _sets(it, shingle), "id long, set binary").filter("length(set) > 0").distinct(), "near-sets")
 
     sigs = nodes.select("id", "sig")
-    pair = members.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    close = F.col("estimate") >= threshold / 100 - MARGIN
-    estimated = pair.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    likely = estimated.withColumn("estimate", estimate(F.col("sig_a"), F.col("sig_b"))).filter(close).select("a", "b").distinct()
-    edges = materialise(confirm(likely, sets, threshold), "near-links")
-    labels = components(edges)
-
-    # pairs that the hubs have left apart
-    member = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    pairs = materialise(members.filter("id <> hub").select("hub", "id").distinct(), "near-pairs")
+    per_hub = pairs.groupBy("hub").agg(F.count("*").alias("n")).join(sigs.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    near = join_hot(pairs, materialise(per_hub, "near-hub-sigs"), "hub", "n", pairs.count()).join(sigs, "id")
+    near = near.filter(estimate(F.col("hub_sig"), F.col("sig")) >= threshold / 100 - MARGIN).select("hub", "id").distinct()
+    labels = components(hub_links(materialise(near, "near-likely"), sets, threshold))
+
+    # links that the hubs have left out
+    member = members.join(labels, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
     member = materialise(member, "near-members")
-    largest = (
-        member.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
-        .agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k"), F.sum("n").alias("n")).filter("k > 1")
-        .select("key", "n", F.col("top.component").alias("major"))
-    )
-    open_ = join_hot(member, largest, "key", "n", total).join(nodes.select("id", "sig", "bands", "size"), "id").join(prefixes(sets, threshold), "id")
-    open_ = materialise(open_.select("key", "id", "component", "major", "sig", "bands", "size", "prefix"), "near-open")
-    side = lambda t: [F.col(c).alias(f"{c}_{t}") for c in ("component", "sig", "bands", "size", "prefix")]
-    x = open_.filter("component <> major").select("key", F.col("id").alias("a"), *side("a"))
-    y = open_.select("key", "major", F.col("id").alias("b"), *side("b"))
-    may = (
-        (x["key"] == y["key"]) & (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("major")) | (F.col("a") < F.col("b")))
-        & (100 * F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")) & (estimate(F.col("sig_a"), F.col("sig_b")) >= threshold / 100 - MARGIN)
-        & F.arrays_overlap("prefix_a", "prefix_b")
-        & (F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == x["key"])  # each pair in the first bucket that both are in
-    )
-    met = x.join(y, may)
-    more = materialise(confirm(met.select("a", "b").distinct(), sets, threshold), "near-links")
+    more = materialise(open_links(member, nodes, sets, threshold, places), "near-links")
     if more.limit(1).count():
-        labels = components(edges.unionByName(more))
+        joined = components(more).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+        known = member.select("id", "component").distinct()
+        labels = materialise(known.join(joined, "component", "left").select("id", F.coalesce("joined", "component").alias("component")), "near-labels")
 
     named = nodes.select("digest", "id", "n").join(labels, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component_id"))
     inside = join_hot(real.select("doc_id", "h", "n_shingles", "digest"), named, "digest", "n", total)

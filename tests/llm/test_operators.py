@@ -260,6 +260,59 @@ def test_near_duplicates_in_a_chain(spark):
     assert got.where("kept").count() == 1
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """A bucket of more members than a group holds: blocks meet in pairs, so links across blocks are found."""
+    monkeypatch.setattr(near_dedup, "GROUP", 4)
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        near = list(base)
+        for _ in range(r.randint(0, 8)):
+            near[r.randrange(len(near))] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(near)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert table(got, "doc_id", "n_shingles", "component_id", "kept") == groups(rows)
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_links_of_a_block(monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 64)
+    r = np.random.default_rng(1)
+    base = r.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.where(r.random(300) < r.uniform(0, 0.12), r.integers(0, 1 << 63, 300).astype(np.uint64), base)) for _ in range(70)]
+    labels, sigs = np.arange(70) // 2, near_dedup.packed(near_dedup.minima(sets))
+    want = {(i, j) for i in range(70) for j in range(i) if labels[i] != labels[j] and near_dedup.agree(sets[i], sets[j], 85)}
+    got = near_dedup.linked(labels, sigs, sets, 85)
+
+    def parts(edges):
+        up = list(range(70))
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i, j in edges:
+            up[top(i)] = top(j)
+        least = {}
+        for i in range(70):
+            least.setdefault(top(i), i)
+        return [least[top(i)] for i in range(70)]
+
+    assert len(want) > 100 and parts(got) == parts(want)
+
+
+def test_groups_over_batches():
+    import pyarrow as pa
+
+    rows = [(k, p, v) for k in range(5) for p in range(2) for v in range(k)]
+    batches = [pa.RecordBatch.from_pylist([{"k": k, "p": p, "v": v} for k, p, v in rows[i : i + 3]]) for i in range(0, len(rows), 3)]
+    got = [(key, [v for x in parts for v in x.column(2).to_pylist()]) for key, parts in near_dedup._groups(iter(batches), 2)]
+    assert got == [((k, p), list(range(k))) for k in range(1, 5) for p in range(2)]
+
+
 def test_near_duplicates_odd(odd, empty):
     got = near_dedup.near_duplicates(odd)
     assert got.count() == odd.count() and got.where("doc_id IS NULL AND (component_id IS NOT NULL OR kept)").count() == 0
