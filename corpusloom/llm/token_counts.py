@@ -11,9 +11,11 @@ white space, where this pre-tokenizer always cuts, and pieces already met are no
 
 from __future__ import annotations
 
-import re
+import itertools
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +23,19 @@ from corpusloom.llm.common import worker_state
 
 #: Characters from which a document is huge, of a chunk, and of the first overlap.
 HUGE, CHUNK, OVERLAP = 1 << 16, 1 << 15, 1 << 9
-#: Pieces that a worker remembers; beyond it the memory starts again.
+#: Words that a worker remembers, about.
 MEMORY = 400_000
+#: Bytes of texts that are encoded at once.
+STEP_BYTES = 8 << 20
 LIMIT = 2048
-PIECE = re.compile(r"[^ \t\n\r]+")
 SPACES = " \t\n\r"
-TAIL = re.compile(r"(.*[a-z])([.,]+)", re.DOTALL)
-#: Letters that NFC leaves alone, whatever is beside them, and whose case is a matter of the letter alone; with a tail of points.
-LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+#: Words that go to the library in one call.
+WORDS = 20_000
+#: ASCII characters that end a pre-token of letters and form one of their own: neither an apostrophe, which can begin a suffix, nor what begins a special token.
+POINTS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(chr(i) for i in range(0xC0, 0x100) if i not in (0xD7, 0xF7))
+#: Letters that NFC leaves alone, whatever is beside them, and whose case is a matter of the letter alone; with a tail of POINTS.
+LATIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+[!-&(-/:;=-@\[-`{-~]*$"
 
 
 def byte_letters() -> list[str]:
@@ -38,87 +45,139 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def spread(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[start[0] : start[0] + n[0]], flat[start[1] : start[1] + n[1]], ... one after the other."""
+    end = np.cumsum(n)
+    total = int(end[-1]) if len(end) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((start - (end - n)).astype(kind), n) + np.arange(total, dtype=kind)]
+
+
+class Known:
+    """The ids of some strings. Beyond MEMORY strings, only those of the last call are kept."""
+
+    def __init__(self):
+        self.keys = pa.array([], pa.string())
+        self.n, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def __call__(self, strings: pa.Array, learn) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all of distinct strings, number of ids of each); learn(strings) gives ids and numbers of those not met before."""
+        at = pc.index_in(strings, value_set=self.keys)
+        new = pc.is_null(at)
+        fresh = strings.filter(new)
+        if len(fresh):
+            ids, n = learn(fresh)
+            where = at.fill_null(0).to_numpy().astype(np.int64)
+            where[new.to_numpy(zero_copy_only=False)] = len(self.n) + np.arange(len(fresh))
+            self.keys, self.n, self.flat = pa.concat_arrays([self.keys, fresh]), np.concatenate([self.n, n]), np.concatenate([self.flat, ids])
+        else:
+            where = at.to_numpy().astype(np.int64)
+        n = self.n[where]
+        flat = spread(self.flat, (np.cumsum(self.n) - self.n)[where], n)
+        if len(self.keys) >= MEMORY:
+            self.keys, self.n, self.flat = strings, n, flat
+        return flat, n
+
+
 class WordTokenizer:
     """word_bpe files: a tokenizer that drops white space and never joins what white space parts.
 
-    ids(text) and count(text) equal the library's encode(text, add_special_tokens=False).
+    The ids equal the library's encode(text, add_special_tokens=False). Texts are cut at ASCII white space, and each distinct piece of a
+    batch is encoded once. A piece of Latin letters and a tail of points is two pre-tokens: its letters in lower case go straight to
+    the library's merges, many words in one call, parted again by the ends of words that the vocabulary marks.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.path, self.lib = path, Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.model, self.letters = self.lib.model, byte_letters()
-        self.special = tuple(t.content for t in self.lib.get_added_tokens_decoder().values())
-        self.memo: dict[str, bytes] = {}
-        self.core: dict[str, bytes] = {}
+        letters = byte_letters()
+        letters[32] = " "  # parts words here
+        self.letters = np.array(list(map(ord, letters)), "<u4")
+        self.words = Tokenizer(self.lib.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        vocabulary = self.lib.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.cores, self.others = Known(), Known()
 
     def encode(self, text: str):
         return self.lib.encode(text, add_special_tokens=False)
 
-    def _piece(self, piece: str) -> bytes:
-        """The ids of one piece as little-endian uint32. Case and a tail of points are taken off first where that changes nothing."""
-        if m := LATIN.fullmatch(piece):  # one pre-token of letters, and perhaps one of points: straight to the merges
-            word = m[1].lower()
-            found = self.core.get(word)
-            if found is None:
-                letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-                found = self._bytes([t.id for t in self.model.tokenize(letters)])
-                if len(self.core) >= MEMORY:
-                    self.core.clear()
-                self.core[word] = found
-            return found + self._piece(m[2]) if m[2] else found
-        key = piece
-        if piece.isascii() and "<" not in piece:  # the normaliser lowers ASCII letters one by one
-            key = piece.lower()
-        found = self.core.get(key)
-        if found is None:
-            if (m := TAIL.fullmatch(key)) and "<" not in key:  # letters and points are never one pre-token
-                found = self._piece(m[1]) + self._piece(m[2])
-            else:
-                found = self._bytes(self.lib.encode_batch_fast([key], add_special_tokens=False)[0].ids)
-            if len(self.core) >= MEMORY:
-                self.core.clear()
-            self.core[key] = found
-        return found
-
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        import array
-
-        return array.array("I", ids).tobytes()
+    def _others(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.lib.encode_batch_fast(strings.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _cores(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of words in lower case."""
+        out = []
+        for i in range(0, len(strings), WORDS):
+            part = strings.slice(i, WORDS)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
+            spelt = self.letters[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            out.append(np.array(self.words.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(out)
+        end = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(end, prepend=0)) if len(end) == len(strings) else self._others(strings)  # each word ends in one token that says so
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; number of ids of each). A null text has none."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary
+        latin = pc.match_substring_regex(pieces, LATIN)
+        whole, rest = pieces.filter(latin), pieces.filter(pc.invert(latin))
+        cores = pc.utf8_lower(pc.utf8_rtrim(whole, POINTS)).dictionary_encode()
+        tails = pc.utf8_ltrim(whole, LETTERS).dictionary_encode()
+        core_ids, core_n = self.cores(cores.dictionary, self._cores)
+        # the tails come first among the others; those of the rest that are a tail as well are met twice, which does no harm
+        both = pa.concat_arrays([tails.dictionary, rest]).dictionary_encode()
+        ids, n = self.others(both.dictionary, self._others)
+        at, which = (np.cumsum(n) - n)[(index := both.indices.to_numpy())] + len(core_ids), n[index]
+        # each piece is its core and its tail, or what the library makes of it, and nothing
+        start, size = np.zeros((len(pieces), 2), np.int64), np.zeros((len(pieces), 2), np.int64)
+        is_latin = latin.to_numpy(zero_copy_only=False)
+        start[is_latin, 0], size[is_latin, 0] = (np.cumsum(core_n) - core_n)[(index := cores.indices.to_numpy())], core_n[index]
+        start[is_latin, 1], size[is_latin, 1] = at[(index := tails.indices.to_numpy())], which[index]
+        start[~is_latin, 0], size[~is_latin, 0] = at[len(tails.dictionary) :], which[len(tails.dictionary) :]
+        flat = spread(np.concatenate([core_ids, ids]), start.ravel(), size.ravel())
+        n = size.sum(1)
+        index = coded.indices.to_numpy()
+        n, start = n[index], (np.cumsum(n) - n)[index]
+        offsets = lists.offsets.to_numpy()
+        return spread(flat, start, n), np.diff(np.concatenate([[0], np.cumsum(n)])[offsets - offsets[0]])
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian uint32."""
-        get, memo, out = self.memo.get, self.memo, []
-        pieces = PIECE.findall(text)
-        out = list(map(get, pieces))
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    p = pieces[i]
-                    x = memo.get(p)
-                    if x is None:
-                        x = self._piece(p)
-                        if len(memo) >= MEMORY:
-                            memo.clear()
-                        memo[p] = x
-                    out[i] = x
-        return b"".join(out)
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
     def count(self, text: str) -> int:
-        return len(self.ids(text)) // 4
+        return int(self.batch(pa.array([text], pa.string()))[1][0])
 
 
 def tokenizer(path: str) -> WordTokenizer:
     return worker_state(f"tokenizer_{path}", lambda: WordTokenizer(path))
 
 
+def steps(texts: pa.Array) -> list[tuple[int, int]]:
+    """Bounds of slices of at most STEP_BYTES, or one longer text."""
+    end = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))])
+    out, a = [], 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(end, end[a] + STEP_BYTES, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
 def boundaries(encoding, base: int) -> list[tuple[int, int]]:
     return [(a + base, b + base) for a, b in encoding.offsets]
 
@@ -180,10 +239,10 @@ def _spliced(batches, path: str):
 def _counts(batches, path: str):
     lib = tokenizer(path)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        n = [lib.count(t or "") for t in texts]
-        size = [len((t or "").encode()) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        texts = batch.column("text")
+        size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+        n = [lib.batch(texts.slice(a, b - a))[1] for a, b in steps(texts)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(np.concatenate([np.zeros(0, np.int64), *n]))], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

@@ -1,10 +1,14 @@
 """Token ids as compressed binary shards, by an adaptive context-mixing range coder.
 
 A shard holds the ids of consecutive documents, cut into blocks. Each block is coded alone: its model starts anew, and it has
-a CRC-32 of its ids. The model predicts an id from the two ids before (order 2) and the one before (order 1), each with a
+a CRC-32 of its ids and code words. The model predicts an id from the two ids before (order 2) and the one before (order 1), each with a
 confidence, and mixes these with the shard's id frequencies (order 0): the pair of confidences picks adaptive weights, so
 an id gets the range of a right prediction, or its share of the rest. All blocks of a shard are coded in step, a numpy
-lane for each, in whole numbers only, so that coding and decoding agree on every machine.
+lane for each, in whole numbers only, so that coding and decoding agree on every machine; the one division is of whole numbers below
+2 ** 48 by others below 2 ** 33, whose quotient IEEE doubles floor exactly.
+
+The coder is carry-less for the decoder: only widths decide when a word is taken, so the encoder just adds up low ends, lets
+words with a carry stand, and adds all carries at the end.
 
 Shard layout, little-endian: magic, then unsigned 32-bit version, documents, block length, blocks, size of the largest id + 1;
 64-bit ids; then three sections, each with a 64-bit length: document lengths (zstd of uint32), frequencies (zstd of uint32),
@@ -22,188 +26,252 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import scratch
-from corpusloom.llm.token_counts import tokenizer
+from corpusloom.llm.common import bound_batches, scratch
+from corpusloom.llm.token_counts import steps, tokenizer
 
-MAGIC, VERSION = b"CLTK", 1
+MAGIC, VERSION = b"CLTK", 2
 END_ID = 2
 #: Ids of a shard, about; blocks in step at least, if there are enough ids; block lengths.
 SHARD_IDS, LANES, BLOCK_LEAST, BLOCK_MOST = 1 << 21, 1024, 256, 4096
-#: Bits of a context table's index, of the mixing precision and of the frequencies' total.
-TABLE_BITS, MIX_BITS, FREQ_BITS = 10, 30, 20
-#: Weights move by a 2 ** RATE-th towards TOP after a right prediction, else LOW, of 2 ** 16; confidences go up to CONFIDENT.
+#: Bits of a context table's index, of the mixing precision and, at least, of the frequencies' total.
+TABLE_BITS, MIX_BITS, FREQ_BITS = 9, 16, 18
+#: Weights move by a 2 ** RATE-th towards TOP after a right prediction, else LOW, of 2 ** MIX_BITS.
 RATE, TOP, LOW = 4, 63_000, 64
-CONFIDENT = 7
-U = np.uint64
+#: A width lies between 2 ** LEAST and 2 ** (LEAST + 16).
+LEAST = 32
+#: Steps whose contexts are made at once in encoding.
+STRIP = 128
 
 
 def frequencies(ids: np.ndarray, size: int) -> np.ndarray:
-    """Counts scaled to a total of 2 ** FREQ_BITS; each id that occurs has one at least."""
+    """Counts scaled to a total of a power of two, 2 ** FREQ_BITS or more; each id that occurs has one at least."""
     n = np.bincount(ids, minlength=size).astype(np.int64)
     if not n.sum():
         return n
-    total = 1 << FREQ_BITS
     have = n > 0
-    if have.sum() * 2 > total:
-        raise ValueError("too many different ids for one shard")
+    total = 1 << max(FREQ_BITS, int(2 * have.sum() - 1).bit_length())
     out = np.where(have, np.maximum(1, n * (total - int(have.sum())) // n.sum()), 0)
     out[np.argmax(out)] += total - out.sum()
     return out
 
 
 class Model:
-    """Predictions and weights of `lanes` blocks.
+    """Predictions and weights of `lanes` blocks; arrays [order, lane] hold order 1 first, then order 2.
 
-    A table entry is an id + 1, shifted by 3, and a confidence, which is 0 where nothing was seen yet. The weights of an entry
-    pair without prediction fall to LOW like those of any prediction that is wrong, so no lane needs a case of its own.
+    A table entry is an id + 1, shifted by 3, and a confidence, which is 0 where nothing was seen yet. A weight entry holds the ranges of the two
+    predictions, of 2 ** MIX_BITS: order 2 from bit 32 on, order 1 below. Those of an entry without prediction fall to LOW like
+    any prediction that is wrong, so no lane needs a case of its own. Choices are made by masks, 0 or -1: numpy's `where` costs several times as much.
     """
 
-    def __init__(self, lanes: int):
-        size, self.states = 1 << TABLE_BITS, (CONFIDENT + 1) ** 2 * 2
-        self.one, self.two = np.zeros(lanes * size, np.uint32), np.zeros(lanes * size, np.uint32)
-        self.weights = np.tile(np.array([[1 << 14, 1 << 13]], np.int32), (lanes * self.states, 1))  # of order 2 and order 1, of 2 ** 16
-        row = np.arange(lanes, dtype=np.int64)
-        self.base, self.state_base = row * size, row * self.states
-        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The ranges of 2 ** MIX_BITS that the predictions of order 2 and 1 get; id2 and id1 are the predicted ids + 1."""
-        shift = np.uint32(32 - TABLE_BITS)
-        self.at1 = self.base + ((self.last * np.uint32(2654435761)) >> shift)
-        self.at2 = self.base + (((self.last * np.uint32(2246822519)) ^ (self.before * np.uint32(3266489917) + np.uint32(668265263))) * np.uint32(374761393) >> shift)
-        self.e1, self.e2 = self.one[self.at1], self.two[self.at2]
-        self.id1, self.id2 = self.e1 >> np.uint32(3), self.e2 >> np.uint32(3)
-        self.c1, self.c2 = self.e1 & np.uint32(7), self.e2 & np.uint32(7)
-        self.at = self.state_base + ((self.c2 << np.uint32(4)) | (self.c1 << np.uint32(1)) | (self.id1 == self.id2))
-        self.g = self.weights[self.at]
-        wide = self.g.astype(np.uint64) << U(MIX_BITS - 16)
-        return wide[:, 0], wide[:, 1]
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """ids: what came, + 1; hit2, hit1: lanes where that was coded as the prediction of order 2 or 1."""
-        fresh = (ids << np.uint32(3)) | np.uint32(1)
-        for table, at, entry, known, sure in ((self.one, self.at1, self.e1, self.id1, self.c1), (self.two, self.at2, self.e2, self.id2, self.c2)):
-            weaker = np.where(sure > 1, entry - ((sure + np.uint32(1)) >> np.uint32(1)), fresh)
-            table[at] = np.where(known == ids, np.minimum(entry + np.uint32(1), entry | np.uint32(7)), weaker)
-        goal = np.full(self.g.shape, LOW, np.int32)
-        goal[hit2, 0] = TOP
-        goal[hit1, 1] = TOP
-        self.weights[self.at] = self.g + ((goal - self.g) >> RATE)
-        self.before, self.last = self.last, ids
-
-
-class Range:
-    """Lows and widths of the lanes' intervals, in 64 bits; 16 bits go out where they are settled."""
+    #: By confidence and, in bit 3, whether the prediction was right: the next confidence, and whether the entry stays.
+    NEXT = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7])
+    STAYS = np.array([0, 0, *[-1] * 14])
+    _HALF = (1 << 32 - RATE) - 1
+    FADES = np.array(_HALF << 32 | _HALF)
+    MISS = np.array((LOW >> RATE) << 32 | LOW >> RATE)
+    HIT2, HIT1 = np.array((TOP >> RATE) - (LOW >> RATE) << 32), np.array((TOP >> RATE) - (LOW >> RATE))
+    K1, K2, DROPPED = np.array(2654435761, np.uint32), np.array(2246822519, np.uint32), np.array(32 - TABLE_BITS, np.uint32)
+    N1, N3, N7, N8, N32, N63, RATE_, ONES32 = (np.array(i) for i in (1, 3, 7, 8, 32, 63, RATE, (1 << 32) - 1))
 
     def __init__(self, lanes: int):
-        self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-
-    def narrow(self, start: np.ndarray, size: np.ndarray, unit: np.ndarray, over: bool) -> None:
-        """over: the last lane has no more ids and stays as it is."""
-        kept = self.low[-1], self.width[-1]
-        self.low += unit * start
-        self.width = unit * size
-        if over:
-            self.low[-1], self.width[-1] = kept
-
-    def settled(self) -> np.ndarray | None:
-        """Lanes whose high 16 bits can go out. A width that straddles for too long is cut, so its bits are settled too."""
-        out = (self.low ^ (self.low + self.width)) < U(1 << 48)
-        small = self.width < U(1 << 32)
-        if small.any():
-            small &= ~out
-            self.width = np.where(small, (~self.low + U(1)) & U((1 << 32) - 1), self.width)
-            out |= small
-        at = np.flatnonzero(out)
-        return at if len(at) else None
-
-    def shift(self, at: np.ndarray) -> None:
-        self.low[at] <<= U(16)
-        self.width[at] <<= U(16)
+        size, states = 1 << TABLE_BITS, 1 << 6
+        self.table = np.zeros(2 * lanes * size, np.uint32)
+        self.weights = np.full(lanes * states, (1 << (MIX_BITS - 2)) << 32 | 1 << (MIX_BITS - 3), np.int64)
+        self.row = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * size
+        self.state_row = np.arange(lanes, dtype=np.int64) * states
+        self.stored, self.context = np.zeros((2, lanes), np.uint32), np.zeros((2, lanes), np.uint32)
+        self.at, self.entry, self.known, self.sure, self.right, self.a = (np.zeros((2, lanes), np.int64) for _ in range(6))
+        self.state, self.weight, self.p2, self.p1, self.b = (np.zeros(lanes, np.int64) for _ in range(5))
+
+    def predict(self, last: np.ndarray, before: np.ndarray) -> None:
+        """Sets p2 and p1, the ranges that the predictions known[1] and known[0] get, by the two ids before, + 1."""
+        first, second = self.context
+        np.multiply(last, self.K1, out=first)
+        np.multiply(before, self.K2, out=second)
+        np.bitwise_xor(second, first, out=second)
+        np.right_shift(self.context, self.DROPPED, out=self.context)
+        np.add(self.row, self.context, out=self.at)
+        np.take(self.table, self.at, out=self.stored, mode="clip")
+        np.copyto(self.entry, self.stored)
+        np.right_shift(self.entry, self.N3, out=self.known)
+        np.bitwise_and(self.entry, self.N7, out=self.sure)
+        np.left_shift(self.sure[1], self.N3, out=self.state)
+        np.add(self.state, self.sure[0], out=self.state)
+        np.add(self.state, self.state_row, out=self.state)
+        np.take(self.weights, self.state, out=self.weight, mode="clip")
+        np.right_shift(self.weight, self.N32, out=self.p2)
+        np.bitwise_and(self.weight, self.ONES32, out=self.p1)
+
+    def compare(self, x: np.ndarray) -> None:
+        """Sets right, a mask, by the ids that came, + 1."""
+        right = self.right
+        np.bitwise_xor(self.known, x, out=right)
+        np.subtract(right, self.N1, out=right)
+        np.right_shift(right, self.N63, out=right)
+
+    def learn(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """x: ids that came, + 1, compared before; hit2, hit1: masks of lanes where that was coded as the prediction of order 2 or 1."""
+        a, b, entry = self.a, self.b, self.entry
+        np.bitwise_and(self.right, self.N8, out=a)
+        np.bitwise_or(a, self.sure, out=a)
+        np.bitwise_xor(entry, self.sure, out=entry)
+        np.left_shift(x, self.N3, out=b)
+        np.bitwise_xor(entry, b, out=entry)
+        np.bitwise_and(entry, np.take(self.STAYS, a, mode="clip"), out=entry)
+        np.bitwise_xor(entry, b, out=entry)
+        np.bitwise_or(entry, np.take(self.NEXT, a, mode="clip"), out=entry)
+        np.copyto(self.stored, entry, casting="unsafe")
+        self.table[self.at] = self.stored
+        w = self.weight
+        np.right_shift(w, self.RATE_, out=b)
+        np.bitwise_and(b, self.FADES, out=b)
+        np.subtract(w, b, out=w)
+        np.add(w, self.MISS, out=w)
+        np.bitwise_and(hit2, self.HIT2, out=b)
+        np.add(w, b, out=w)
+        np.bitwise_and(hit1, self.HIT1, out=b)
+        np.add(w, b, out=w)
+        self.weights[self.state] = w
 
 
 def encode_blocks(ids: np.ndarray, block: int, freq: np.ndarray) -> list[np.ndarray]:
-    """The code words of each block of `block` ids."""
-    lanes = -(-len(ids) // block)
-    flat = np.zeros(lanes * block, np.uint32)
+    """The code words of each block of `block` ids; the last one is filled up with its last id."""
+    lanes, bits = -(-len(ids) // block), np.array(int(freq.sum()).bit_length() - 1)
+    flat = np.full(lanes * block, ids[-1], np.uint32)
     flat[: len(ids)] = ids
-    grid = np.ascontiguousarray(flat.reshape(lanes, block).T)
-    tail = len(ids) - (lanes - 1) * block
-    cum = np.concatenate([[0], np.cumsum(freq)]).astype(np.uint64)
-    cap = 3 * block + 16
-    out, n = np.zeros(lanes * cap, np.uint16), np.zeros(lanes, np.int64)
-    rows = np.arange(lanes, dtype=np.int64) * cap
-    model, span = Model(lanes), Range(lanes)
-    every = np.arange(lanes)
-
-    def emit(at):
-        out[rows[at] + n[at]] = (span.low[at] >> U(48)).astype(np.uint16)
-        n[at] += 1
-
+    grid = np.zeros((block + 2, lanes), np.uint32)  # ids + 1, after two steps of nothing
+    np.add(flat.reshape(lanes, block).T, 1, out=grid[2:])
+    begin = np.cumsum(freq) - freq
+    model, width = Model(lanes), np.full(lanes, 1 << (LEAST + 16), np.int64)
+    # what is settled but for a carry, 16 bits and perhaps one more in each; the rest of the sum of all low ends
+    cap = 2 * block + 8
+    out, at, value = np.zeros(lanes * cap, np.uint32), np.arange(lanes, dtype=np.int64) * cap, np.zeros(lanes, np.int64)
+    hit1, unit, rest = (np.zeros(lanes, np.int64) for _ in range(3))
+    span, other, one, two = (np.zeros((2, lanes), np.int64) for _ in range(4))
+    low, size = span
+    mix, least, n16, n32, n63, head = (np.array(i) for i in (MIX_BITS, 1 << LEAST, 16, 32, 63, -1 << 32))
+    t2, p1 = one
     for t in range(block):
-        x = grid[t]
-        ids1 = x + np.uint32(1)
-        p2, p1 = model.predict()
-        both = p2 + p1
-        rest = U(1 << MIX_BITS) - both
-        hit2 = model.id2 == ids1
-        hit1 = (model.id1 == ids1) & ~hit2
-        a, b = (rest * cum[x]) >> U(FREQ_BITS), (rest * cum[x + 1]) >> U(FREQ_BITS)
-        start = np.where(hit2, U(0), np.where(hit1, p2, both + a))
-        size = np.where(hit2, p2, np.where(hit1, p1, b - a))
-        span.narrow(start, size, span.width >> U(MIX_BITS), t >= tail)
-        while (at := span.settled()) is not None:
-            emit(at)
-            span.shift(at)
-        model.learn(ids1, hit2, hit1)
-    for _ in range(4):
-        emit(every)
-        span.low <<= U(16)
-    return [out[r : r + k] for r, k in zip(rows.tolist(), n.tolist(), strict=True)]
+        i = t % STRIP
+        if i == 0:
+            xs = grid[t + 2 : min(block, t + STRIP) + 2].astype(np.int64)
+            begins, sizes = begin.take(xs - 1), freq.take(xs - 1)
+        x, hit2 = xs[i], model.right[1]
+        model.predict(grid[t + 1], grid[t])
+        model.compare(x)
+        np.greater(hit2, model.right[0], out=hit1)  # 1 where order 1 alone is right
+        np.negative(hit1, out=hit1)
+        np.right_shift(width, mix, out=unit)
+        np.multiply(unit, model.p2, out=t2)
+        np.multiply(unit, model.p1, out=p1)
+        np.left_shift(unit, mix, out=rest)
+        np.add(t2, p1, out=unit)
+        np.subtract(rest, unit, out=rest)
+        np.right_shift(rest, bits, out=rest)
+        np.multiply(begins[i], rest, out=low)
+        np.multiply(sizes[i], rest, out=size)
+        np.add(low, unit, out=low)
+        # low and size are t2 and p1 where order 1 was right, 0 and t2 where order 2 was
+        np.bitwise_xor(span, one, out=other)
+        np.bitwise_and(other, hit1, out=other)
+        np.bitwise_xor(span, other, out=span)
+        np.copyto(two[1], t2)
+        np.bitwise_xor(span, two, out=other)
+        np.bitwise_and(other, hit2, out=other)
+        np.bitwise_xor(span, other, out=span)
+        np.add(value, low, out=value)
+        np.copyto(width, size)
+        while np.minimum.reduce(width) < least:
+            np.subtract(width, least, out=unit)
+            np.right_shift(unit, n63, out=unit)
+            np.right_shift(value, n32, out=rest)
+            out[at] = rest  # counts once the place moves on
+            np.subtract(at, unit, out=at)
+            np.bitwise_and(unit, head, out=rest)
+            np.bitwise_and(unit, n16, out=unit)
+            np.bitwise_and(value, np.invert(rest, out=rest), out=value)
+            np.left_shift(value, unit, out=value)
+            np.left_shift(width, unit, out=width)
+        model.learn(x, hit2, hit1)
+    for i in (32, 16, 0):
+        out[at] = (value >> i) & (0xFFFF if i < 32 else -1)
+        at += 1
+    out = out.reshape(lanes, cap)
+    at -= np.arange(lanes) * cap
+    while (carry := out >> 16).any():
+        out &= 0xFFFF
+        out[:, :-1] += carry[:, 1:]
+    out = out.astype(np.uint16)
+    return [out[i, :n] for i, n in enumerate(at.tolist())]
 
 
 def decode_blocks(codes: np.ndarray, lengths: np.ndarray, total: int, block: int, freq: np.ndarray) -> np.ndarray:
     """The ids. codes: words of all blocks, one after the other; lengths: words of each."""
-    lanes = len(lengths)
-    at_word = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    codes = np.concatenate([codes.astype(np.uint64), np.zeros(8, np.uint64)])
-    cum = np.concatenate([[0], np.cumsum(freq)]).astype(np.uint64)
-    slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
-    tail = total - (lanes - 1) * block
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << U(16)) | codes[at_word]
-        at_word += 1
-    grid = np.zeros((block, lanes), np.uint32)
-    model, span = Model(lanes), Range(lanes)
+    lanes, bits = len(lengths), np.array(int(freq.sum()).bit_length() - 1)
+    at = np.cumsum(lengths) - lengths
+    codes = np.concatenate([codes, np.zeros(8, np.uint16)])
+    # of each slot: the id + 1, where its range begins, and how many slots it has
+    slots = np.repeat(np.arange(1, len(freq) + 1) << 42 | (np.cumsum(freq) - freq) << 21 | freq, freq)
+    code = np.zeros(lanes, np.int64)
+    for _ in range(3):
+        code = code << 16 | codes[at]
+        at += 1
+    grid = np.zeros((block + 2, lanes), np.uint32)
+    model, width = Model(lanes), np.full(lanes, 1 << (LEAST + 16), np.int64)
+    hit2, hit1, unit, rest, t1, over, slot, found, small = (np.zeros(lanes, np.int64) for _ in range(9))
+    span, one, two, other = (np.zeros((3, lanes), np.int64) for _ in range(4))
+    (x, low, size), (t2, p1) = span, one[1:]
+    part, word = np.zeros(lanes), np.zeros(lanes, np.uint16)
+    mix, least, few, n16, n21, n42, n63 = (np.array(i) for i in (MIX_BITS, 1 << LEAST, (1 << 21) - 1, 16, 21, 42, 63))
     for t in range(block):
-        p2, p1 = model.predict()
-        both = p2 + p1
-        unit = span.width >> U(MIX_BITS)
-        v = np.minimum((code - span.low) // unit, U((1 << MIX_BITS) - 1))
-        hit2 = v < p2
-        hit1 = (v < both) & ~hit2
-        ids1 = np.where(hit2, model.id2, model.id1)
-        start, size = np.where(hit2, U(0), p2), np.where(hit2, p2, p1)
-        lit = np.flatnonzero(v >= both)
-        if len(lit):
-            base, rest = both[lit], U(1 << MIX_BITS) - both[lit]
-            slot = (((v[lit] - base + U(1)) << U(FREQ_BITS)) - U(1)) // rest
-            x = slots[np.minimum(slot, U((1 << FREQ_BITS) - 1)).astype(np.int64)]
-            a, b = (rest * cum[x]) >> U(FREQ_BITS), (rest * cum[x + 1]) >> U(FREQ_BITS)
-            start[lit], size[lit] = base + a, b - a
-            ids1[lit] = x + np.uint32(1)
-        if t >= tail:
-            ids1[-1] = 1
-            hit2[-1], hit1[-1] = model.id2[-1] == 1, model.id1[-1] == 1 and model.id2[-1] != 1
-        grid[t] = ids1 - np.uint32(1)
-        span.narrow(start, size, unit, t >= tail)
-        while (at := span.settled()) is not None:
-            code[at] = (code[at] << U(16)) | codes[np.minimum(at_word[at], len(codes) - 1)]
-            at_word[at] += 1
-            span.shift(at)
-        model.learn(ids1, hit2, hit1)
-    return grid.T.reshape(-1)[:total]
+        model.predict(grid[t + 1], grid[t])
+        np.right_shift(width, mix, out=unit)
+        np.multiply(unit, model.p2, out=t2)
+        np.multiply(unit, model.p1, out=p1)
+        np.left_shift(unit, mix, out=rest)
+        np.add(t2, p1, out=t1)
+        np.subtract(rest, t1, out=rest)
+        np.right_shift(rest, bits, out=rest)
+        np.subtract(code, t2, out=hit2)
+        np.right_shift(hit2, n63, out=hit2)
+        np.subtract(code, t1, out=over)
+        np.right_shift(over, n63, out=hit1)
+        np.bitwise_xor(hit1, hit2, out=hit1)
+        np.divide(over, rest, out=part)
+        np.copyto(slot, part, casting="unsafe")
+        np.take(slots, slot, out=found, mode="clip")
+        np.right_shift(found, n42, out=x)
+        np.right_shift(found, n21, out=low)
+        np.bitwise_and(low, few, out=low)
+        np.bitwise_and(found, few, out=size)
+        np.multiply(span[1:], rest, out=span[1:])
+        np.add(low, t1, out=low)
+        # x, low and size are known[0], t2 and p1 where order 1 was right, known[1], 0 and t2 where order 2 was
+        np.copyto(one[0], model.known[0])
+        np.bitwise_xor(span, one, out=other)
+        np.bitwise_and(other, hit1, out=other)
+        np.bitwise_xor(span, other, out=span)
+        np.copyto(two[0], model.known[1])
+        np.copyto(two[2], t2)
+        np.bitwise_xor(span, two, out=other)
+        np.bitwise_and(other, hit2, out=other)
+        np.bitwise_xor(span, other, out=span)
+        np.copyto(grid[t + 2], x, casting="unsafe")
+        np.subtract(code, low, out=code)
+        np.copyto(width, size)
+        while np.minimum.reduce(width) < least:
+            np.subtract(width, least, out=small)
+            np.right_shift(small, n63, out=small)
+            np.take(codes, at, out=word, mode="clip")
+            np.subtract(at, small, out=at)
+            np.bitwise_and(small, word, out=found)
+            np.bitwise_and(small, n16, out=small)
+            np.left_shift(width, small, out=width)
+            np.left_shift(code, small, out=code)
+            np.add(code, found, out=code)
+        model.compare(x)
+        model.learn(x, hit2, hit1)
+    return (grid[2:] - np.uint32(1)).T.reshape(-1)[:total]
 
 
 def _section(data: bytes) -> bytes:
@@ -220,7 +288,7 @@ def write_shard(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     block = int(min(BLOCK_MOST, max(BLOCK_LEAST, -(-len(ids) // LANES))))
     freq = frequencies(ids, size)
     codes = encode_blocks(ids, block, freq) if len(ids) else []
-    sums = [zlib.crc32(ids[i : i + block].tobytes()) for i in range(0, len(ids), block)]
+    sums = [zlib.crc32(c.tobytes(), zlib.crc32(ids[i : i + block].tobytes())) for i, c in zip(range(0, len(ids), block), codes, strict=True)]
     table = b"".join(struct.pack("<II", s, len(c)) for s, c in zip(sums, codes, strict=True))
     head = MAGIC + struct.pack("<IIIIIQ", VERSION, len(lengths), block, len(codes), size, len(ids))
     return head + _section(squeeze(np.asarray(lengths, np.uint32).tobytes())) + _section(squeeze(freq.astype(np.uint32).tobytes())) + _section(table + b"".join(c.tobytes() for c in codes))
@@ -246,8 +314,9 @@ def read_shard(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     table = np.frombuffer(parts[2][: 8 * n], np.uint32).reshape(n, 2)
     codes = np.frombuffer(parts[2][8 * n :], np.uint16)
     ids = decode_blocks(codes, table[:, 1].astype(np.int64), total, block, freq) if n else np.zeros(0, np.uint32)
+    ends = np.cumsum(table[:, 1], dtype=np.int64)
     for i in range(n):
-        if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != table[i, 0]:
+        if zlib.crc32(codes[ends[i] - table[i, 1] : ends[i]].tobytes(), zlib.crc32(ids[i * block : (i + 1) * block].tobytes())) != table[i, 0]:
             raise ValueError(f"block {i}: wrong checksum")
     if len(lengths) != docs or int(lengths.sum()) != total:
         raise ValueError("lengths of the documents don't fit")
@@ -263,28 +332,32 @@ def _shards(batches, path: str, end_id: int):
     from pyspark import TaskContext
 
     lib, part = tokenizer(path), TaskContext.get().partitionId()
-    end = np.array([end_id], np.uint32).tobytes()
-    no, docs, held, n = 0, [], [], 0
-
-    def done():
-        ids = np.frombuffer(b"".join(held), np.uint32)
-        lengths = np.array([len(x) // 4 for x in held], np.uint32)
-        names = np.array([-1 if d is None else d for d in docs], np.int64)
-        nulls = np.array([d is None for d in docs], np.uint8)
+    no, docs, lengths, held = 0, [], [], []
+
+    def done(docs, lengths, ids):
+        names = docs.fill_null(-1).to_numpy().astype(np.int64)
+        nulls = docs.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
         packed = zstandard.ZstdCompressor(level=3).compress(names.tobytes() + nulls.tobytes())
-        first = next((d for d in docs if d is not None), None)
-        return pa.RecordBatch.from_pylist([{"first_doc": first, "part": part, "shard": no, "n_docs": len(docs), "n_tokens": len(ids), "doc_ids": packed, "data": write_shard(ids, lengths)}], _schema())
+        first = docs.drop_null()
+        row = {"first_doc": first[0].as_py() if len(first) else None, "part": part, "shard": no, "n_docs": len(docs), "n_tokens": len(ids), "doc_ids": packed, "data": write_shard(ids, lengths)}
+        return pa.RecordBatch.from_pylist([row], _schema())
 
     for batch in batches:
-        for d, t in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time
-            d, ids = d.as_py(), lib.ids(t.as_py() or "") + end
-            docs.append(d), held.append(ids)
-            n += len(ids) // 4
-            if n >= SHARD_IDS:
-                yield done()
-                no, docs, held, n = no + 1, [], [], 0
+        for a, b in steps(batch.column(1)):
+            ids, n = lib.batch(batch.column(1).slice(a, b - a))
+            at = np.cumsum(n)
+            docs.append(batch.column(0).slice(a, b - a)), lengths.append(n + 1), held.append(np.insert(ids, at, np.uint32(end_id)))
+            if sum(map(len, held)) < SHARD_IDS:
+                continue
+            docs, lengths, held = pa.concat_arrays(docs), np.concatenate(lengths), np.concatenate(held)
+            end, a, at = np.cumsum(lengths), 0, 0
+            while len(held) - at >= SHARD_IDS:  # a shard ends with the document that fills it
+                b = int(np.searchsorted(end, at + SHARD_IDS)) + 1
+                yield done(docs.slice(a, b - a), lengths[a:b], held[at : end[b - 1]])
+                no, a, at = no + 1, b, int(end[b - 1])
+            docs, lengths, held = ([docs.slice(a)], [lengths[a:]], [held[at:].copy()]) if a < len(lengths) else ([], [], [])
     if docs:
-        yield done()
+        yield done(pa.concat_arrays(docs), np.concatenate(lengths), np.concatenate(held))
 
 
 def _schema():
@@ -294,6 +367,7 @@ def _schema():
 def write_tokens(docs: DataFrame, path: str, to: str, end_id: int = END_ID) -> None:
     """Writes the shards of all documents to the folder `to`, in ascending doc_id order, null first and equal ones by text."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # many rows of one id must not meet in one task: a hash of the text spreads them, and orders them

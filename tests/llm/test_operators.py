@@ -1,6 +1,7 @@
 """The operators against brute force on small corpora."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
