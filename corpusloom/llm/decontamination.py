@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import bound_batches, unique_column
+
 WINDOW, K = 8, 5
 WIDTH = WINDOW - K + 1
 #: Items' words in a block.
@@ -200,7 +202,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_words: int =
     an item_id that repeats counts once, a null one as the empty name. Repeated documents are searched each. Empty
     tables: no rows, or no hits. Other columns are not read. Several blocks of items read the documents once each.
     """
+    return _found(docs, benchmark, block_words, least_items).drop("_h64")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, block_words: int, least_items: int) -> DataFrame:
+    """find_contamination, with the hash of each row's text."""
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("row"), "text")
     kind = texts.dtypes[0][1]
     shape = f"row {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"
@@ -230,10 +238,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_words: int =
     hits = found.select(F.struct("row", "n_words").alias("row"), "starts", "ends", "items")
     kind = dict(hits.dtypes)["row"]
     out = hits.mapInArrow(_digest, f"row {kind}, n_hit long, n_items long, items_sha256 string")
-    return out.select(F.col("row.row.doc_id").alias("doc_id"), "row.n_words", "n_hit", "n_items", "items_sha256", (F.col("n_items") >= least_items).alias("contaminated"))
+    return out.select(F.col("row.row.doc_id").alias("doc_id"), F.col("row.row.h").alias("_h64"), "row.n_words", "n_hit", "n_items", "items_sha256", (F.col("n_items") >= least_items).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns; rows of one doc_id go together."""
-    bad = find_contamination(docs, benchmark, **options).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, least_items: int = LEAST_ITEMS) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns, each judged by its own text.
+
+    Rows with a null doc_id, and rows of one doc_id with different texts, stay or go each by itself; rows that repeat both go together.
+    Null and empty texts stay. Without items all rows stay.
+    """
+    h = unique_column(docs, "_of_text")
+    bad = _found(docs, benchmark, block_words, least_items).filter("contaminated").select(F.col("doc_id").alias("_bad"), F.col("_h64").alias("_bad_h64")).distinct()
+    marked = docs.withColumn(h, F.xxhash64("text"))
+    return marked.join(bad, marked["doc_id"].eqNullSafe(bad["_bad"]) & (marked[h] == bad["_bad_h64"]), "left_anti").drop(h)

@@ -77,6 +77,11 @@ def taken(docs: DataFrame) -> DataFrame:
     repeated rows are mixed as rows of their own; an empty table gives an empty result. Other columns are not read.
     The same rows give the same result at any partitioning.
     """
+    return _taken(docs).drop("source", "tie")
+
+
+def _taken(docs: DataFrame) -> DataFrame:
+    """taken, with each row's source and the hash of its text."""
     spark = docs.sparkSession
     rows = docs.select(
         "doc_id", "source", n_words_expr(F.col("text")).alias("size"),
@@ -107,7 +112,7 @@ def taken(docs: DataFrame) -> DataFrame:
         ],
         "source_no int, name string, is_null boolean, source_size long, target double, n_chunks int, goal long, block long, longer long",
     )
-    keyed = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("is_null", F.col("source").isNull()).drop("source")
+    keyed = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("is_null", F.col("source").isNull())
     lookup = lookup.withColumn("name", F.coalesce("name", F.lit("")))
     keyed = join_lookup(keyed, lookup, ["name", "is_null"], "inner").withColumn("chunk", F.pmod(F.shiftright(F.col("h"), 20), F.col("n_chunks")).cast("int"))
 
@@ -123,7 +128,7 @@ def taken(docs: DataFrame) -> DataFrame:
     slot_of = lambda x: F.when(x < long_words, F.call_function("div", x, F.col("block") + 1)).otherwise(F.col("longer") + F.call_function("div", x - long_words, F.greatest("block", F.lit(1))))
     begin = F.col("rank") * F.col("block") + F.least("rank", "longer")
     end = begin + F.col("block") + (F.col("rank") < F.col("longer")).cast("long")
-    row = ["source_no", "doc_id", "h", "tie", "start", "size", "source_size", "target"]
+    row = ["source_no", "source", "doc_id", "h", "tie", "start", "size", "source_size", "target"]
     rounds = F.sequence(F.lit(0).cast("long"), F.call_function("div", F.greatest(F.col("goal") - 1, F.lit(0)), F.greatest("source_size", F.lit(1))))
     reached = (F.col("size") > 0) & (F.col("start") < F.col("goal"))
     passes = placed.filter(reached).withColumn("round", F.explode(rounds)).withColumn("low", F.col("round") * F.col("source_size") + F.col("start"))
@@ -135,7 +140,7 @@ def taken(docs: DataFrame) -> DataFrame:
     inside = F.least(F.col("high"), end) - F.greatest(F.col("low"), begin)
     got = pieces.join(slots.select("source_no", "rank"), ["source_no", "rank"]).groupBy(*row).agg(F.sum(inside).alias("taken"))
     none = placed.filter(~reached)
-    shape = lambda df, t: df.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", t.cast("long").alias("taken"))
+    shape = lambda df, t: df.select("doc_id", "source", "tie", "size", F.col("source_size").cast("long").alias("source_size"), "target", t.cast("long").alias("taken"))
     return shape(got, F.col("taken")).unionByName(shape(none, F.lit(0)))
 
 
@@ -143,9 +148,12 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents themselves: each as often as the mix takes it, in whole copies.
 
     A document of which the schedule takes at least half of its words once more is given once more. Documents
-    that aren't taken, and those without words, go. doc_id must identify a row; other columns are kept.
+    that aren't taken, and those without words, go. Rows are told apart by doc_id, text and source, a null of either like any
+    value; rows that repeat all three are mixed each, and given as often as the one that is taken most. Other columns are kept.
     """
-    copies, copy = unique_column(docs, "copies"), unique_column(docs, "copy")
+    copies, copy, tie = unique_column(docs, "copies"), unique_column(docs, "copy"), unique_column(docs, "tie")
     n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    share = taken(docs).groupBy("doc_id").agg(F.max(n).alias(copies)).filter(F.col(copies) > 0)
-    return docs.join(share, "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
+    share = _taken(docs).groupBy(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("tie").alias("_tie")).agg(F.max(n).alias(copies)).filter(F.col(copies) > 0)
+    marked = docs.withColumn(tie, F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(share["_doc"]) & marked["source"].eqNullSafe(share["_source"]) & (marked[tie] == share["_tie"])
+    return marked.join(share, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import WORD
+from corpusloom.llm.common import WORD, bound_batches
 
 SYMBOLS = "#*$%&|<>"
 #: Words from which repeated windows are found by sorting ranks, not by a set of tuples.
@@ -72,6 +72,7 @@ def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns `keep` of each row and FIELDS of its text; a null text counts as empty."""
     from pyspark.sql import functions as F
 
+    bound_batches(docs.sparkSession)
     row = F.struct(*keep).alias("row")
     kind = docs.select(row).dtypes[0][1]
     out = docs.select(row, "text").mapInArrow(_batches, f"row {kind}, " + ", ".join(f"{f} long" for f in FIELDS))

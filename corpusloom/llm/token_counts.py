@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import worker_state
+from corpusloom.llm.common import bound_batches, worker_state
 
 #: Characters from which a document is huge, of a chunk, and of the first overlap.
 HUGE, CHUNK, OVERLAP = 1 << 16, 1 << 15, 1 << 9
@@ -251,6 +251,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     Null and empty texts have no tokens. Repeated rows are counted each. An empty table gives an empty result.
     Columns but doc_id and text are not read. Special strings inside a text are what the library makes of them.
     """
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text")
     huge = F.length("text") >= HUGE

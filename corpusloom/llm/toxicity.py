@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise
+from corpusloom.llm.common import bound_batches, materialise
 
 #: Labelled rows that are learned from at most: those with the smallest hashes of doc_id.
 LABELLED = 20_000
@@ -229,6 +229,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_limit: int = LABELL
     An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     sample = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select(F.col("doc_id"), F.col("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_limit)

@@ -124,3 +124,25 @@ def test_null_and_repeated_ids_are_judged_by_their_texts(spark):
     for part in (docs, docs.repartition(5)):
         kept = [tuple(x) for x in near_dedup.drop_near_duplicates(part).collect()]
         assert sorted(kept) == sorted(want)
+
+
+def test_later_stages_judge_rows_by_their_texts(spark):
+    """Null ids, and ids that repeat with other texts, in decontamination and mixing."""
+    from corpusloom.llm import decontamination, mixing
+
+    passage = " ".join(f"leak{i}" for i in range(12))
+    rows = [(None, f"a b c {passage}", "s"), (None, "a clean text without an id", "s"), (1, passage, "s"), (1, "clean words of the same id", None), (2, None, "s"), (3, "", None), (4, passage, "t"), (4, passage, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    kept = [tuple(r) for r in decontamination.drop_contaminated(docs, items, least_items=1).collect()]
+    assert Counter(kept) == Counter(r for r in rows if "leak1 " not in (r[1] or ""))
+    assert decontamination.drop_contaminated(docs, items.limit(0), least_items=1).count() == len(rows)
+    mixed = Counter(tuple(r) for r in mixing.mix(docs).collect())
+    assert set(mixed) <= {r for r in rows if r[1]} and (None, "a clean text without an id", "s") in mixed and max(mixed.values()) <= 4
+
+
+def test_empty_tables_through_all_stages(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
