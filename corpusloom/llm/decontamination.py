@@ -11,6 +11,7 @@ taken in blocks of at most BLOCK_WORDS words, so what is sent to the executors h
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections import defaultdict
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bound_batches, unique_column
+from corpusloom.llm.common import bound_batches, in_arrow, unique_column
 
 WINDOW, K = 8, 5
 WIDTH = WINDOW - K + 1
@@ -180,6 +181,17 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string())], ["row", "n_hit", "n_items", "items_sha256"])
 
 
+def _found_at_once(batches, index):
+    """_search and _digest in one worker, where there is but one block."""
+
+    def joined():
+        for batch in _search(batches, index):
+            row = pa.StructArray.from_arrays([batch.column(0), batch.column(1)], ["row", "n_words"])
+            yield pa.RecordBatch.from_arrays([row, *(batch.column(i) for i in (2, 3, 4))], ["row", "starts", "ends", "items"])
+
+    return _digest(joined())
+
+
 def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS):
     """Indexes of blocks of items, one after the other; the driver holds one block."""
     held, n = [], 0
@@ -212,32 +224,19 @@ def _found(docs: DataFrame, benchmark: DataFrame, block_words: int, least_items:
     texts = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("row"), "text")
     kind = texts.dtypes[0][1]
     shape = f"row {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"
-    first, more = None, []
-    for index in blocks(benchmark, block_words):
-        held = spark.sparkContext.broadcast(index)
-        found = texts.mapInArrow(lambda it, held=held: _search(it, held), shape)
-        if first is None:
-            first = found
-        else:
-            more.append(found)
-    if first is None:
-        held = spark.sparkContext.broadcast(Index([]))
-        first = texts.mapInArrow(lambda it: _search(it, held), shape)
-    found = first
-    if more:  # rows are told apart by what they are, and repeated rows by their number
-        parts = [f.withColumn("_block", F.lit(i)) for i, f in enumerate([first, *more])]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
+    digest = f"row struct<row:{kind},n_words:bigint>, n_hit long, n_items long, items_sha256 string"
+    held = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, block_words)] or [spark.sparkContext.broadcast(Index([]))]
+    if len(held) == 1:
+        out = texts.transform(in_arrow, lambda it: _found_at_once(it, held[0]), digest)
+    else:  # rows are told apart by what they are, and repeated rows by their number
+        parts = [texts.transform(in_arrow, lambda it, x=x: _search(it, x), shape).withColumn("_block", F.lit(i)) for i, x in enumerate(held)]
         found = (
-            every.groupBy("row", "n_words").agg(
+            functools.reduce(DataFrame.unionByName, parts).groupBy("row", "n_words").agg(
                 F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"),
                 F.sum(F.when(F.col("_block") == 0, 1).otherwise(0)).alias("_n"),
             ).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_", "_n")
         )
-    hits = found.select(F.struct("row", "n_words").alias("row"), "starts", "ends", "items")
-    kind = dict(hits.dtypes)["row"]
-    out = hits.mapInArrow(_digest, f"row {kind}, n_hit long, n_items long, items_sha256 string")
+        out = found.select(F.struct("row", "n_words").alias("row"), "starts", "ends", "items").transform(in_arrow, _digest, digest)
     return out.select(F.col("row.row.doc_id").alias("doc_id"), F.col("row.row.h").alias("_h64"), "row.n_words", "n_hit", "n_items", "items_sha256", (F.col("n_items") >= least_items).alias("contaminated"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import join_hot, materialise
+from corpusloom.llm.common import in_arrow, join_hot, materialise
 
 #: Lines that a repeated run has at least: a power of two. 1: a line on its own counts too, whatever its length.
 MIN_LINES = 1
@@ -92,7 +92,7 @@ def remove_line_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     runs = later_copies(docs, min_lines).groupBy("doc", "h").agg(F.collect_set(F.struct("line", "size")).alias("runs"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), F.xxhash64("text").alias("h"))
     joined = keyed.join(runs, ["doc", "h"], "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept_text string")
+    return joined.transform(in_arrow, _kept, "doc_id long, n_lines long, n_removed long, kept_text string")
 
 
 def digest(removed: DataFrame) -> DataFrame:

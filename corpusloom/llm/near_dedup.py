@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bytewords import Splitter, mixed
-from corpusloom.llm.common import BROADCAST_ROWS, bound_batches, join_hot, materialise, unique_column, worker_state
+from corpusloom.llm.common import BROADCAST_ROWS, bound_batches, in_arrow, join_hot, materialise, unique_column, worker_state
 
 SHINGLE, THRESHOLD = 3, 85
 HASHES, ROWS, BITS = 160, 5, 4
@@ -272,7 +272,7 @@ def hub_links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     own = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.col("hub").alias("id"))
     rows = dealt.unionByName(own).join(sets, "id").select("hub", "part", "id", "set")
     grouped = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
-    return grouped.mapInArrow(lambda it: _with_hub(it, threshold), "a long, b long")
+    return grouped.transform(in_arrow, lambda it: _with_hub(it, threshold), "a long, b long")
 
 
 def open_links(member: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int, total: int) -> DataFrame:
@@ -301,7 +301,7 @@ def open_links(member: DataFrame, nodes: DataFrame, sets: DataFrame, threshold:
     groups = dealt.withColumn("block", block).select("key", F.explode(parts).alias("part"), "id", "component")
     rows = groups.join(nodes.select("id", "sig"), "id").join(sets, "id").select("key", "part", "component", "sig", "set")
     grouped = rows.repartition("key", "part").sortWithinPartitions("key", "part")
-    return grouped.mapInArrow(lambda it: _in_blocks(it, threshold), "a long, b long").distinct()
+    return grouped.transform(in_arrow, lambda it: _in_blocks(it, threshold), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -334,7 +334,7 @@ def _judged(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
     """near_duplicates, with the hash of each row's text."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = materialise(texts.withColumn("h", F.xxhash64("text")).mapInArrow(lambda it: _sketches(it, shingle), "doc_id long, h long, n_shingles long, digest binary, sig array<long>, bands array<long>"), "near-sketches")
+    sketches = materialise(texts.withColumn("h", F.xxhash64("text")).transform(in_arrow, lambda it: _sketches(it, shingle), "doc_id long, h long, n_shingles long, digest binary, sig array<long>, bands array<long>"), "near-sketches")
     total = sketches.count()
     real = sketches.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     nodes = materialise(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")), "near-nodes")
@@ -347,7 +347,7 @@ def _judged(docs: DataFrame, threshold: int, shingle: int) -> DataFrame:
     needed = members.select("id").distinct()
     few = needed.count() <= BROADCAST_ROWS
     picked = texts.join(F.broadcast(needed) if few else needed, texts["doc_id"] == needed["id"], "left_semi")
-    sets = materialise(picked.mapInArrow(lambda it: _sets(it, shingle), "id long, set binary").filter("length(set) > 0").distinct(), "near-sets")
+    sets = materialise(picked.transform(in_arrow, lambda it: _sets(it, shingle), "id long, set binary").filter("length(set) > 0").distinct(), "near-sets")
 
     sigs = nodes.select("id", "sig")
     pairs = materialise(members.filter("id <> hub").select("hub", "id").distinct(), "near-pairs")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bytewords import Splitter, Words, mixed
-from corpusloom.llm.common import WORD, materialise, worker_state
+from corpusloom.llm.common import WORD, in_arrow, materialise, worker_state
 
 WINDOW, GRAM = 13, 2
 #: A minimiser is hot when it has more than one in so many of all windows; so no more than this many are.
@@ -281,22 +281,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     spark = docs.sparkSession
     gram = min(gram, window)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("h"), "text")
-    heavy = texts.mapInArrow(lambda it: _heavy(it, window, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    heavy = texts.transform(in_arrow, lambda it: _heavy(it, window, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     heavy = materialise(heavy, "window-counts")
     total = (heavy.filter("key = 0").agg(F.max("n")).first()[0]) or 0
     hot = [r.key for r in heavy.filter((F.col("key") != 0) & (F.col("n") > max(64, total // HOT))).orderBy(F.desc("n"), "key").limit(2 * HOT).collect()]
     held = spark.sparkContext.broadcast(np.array(hot, np.int64).view(np.uint64))
     if groups is None:
         groups = min(GROUPS, max(64, -(-total // GROUP_WINDOWS)))
-    packed = texts.mapInArrow(lambda it: _super_kmers(it, held, groups, window, gram), "group long, data binary")
+    packed = texts.transform(in_arrow, lambda it: _super_kmers(it, held, groups, window, gram), "group long, data binary")
     sorted_ = packed.repartition("group").sortWithinPartitions("group")
-    found = sorted_.mapInArrow(lambda it: _verdicts(it, window), "doc long, text_hash int, runs array<int>")
+    found = sorted_.transform(in_arrow, lambda it: _verdicts(it, window), "doc long, text_hash int, runs array<int>")
     found = found.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_h")).agg(F.collect_list("runs").alias("_runs"))
     found = materialise(found, "window-verdicts")
     row = F.struct("doc_id", F.coalesce("doc_id", F.lit(int(LAST))).alias("_doc"), F.col("h").alias("_h")).alias("row")
-    keyed = texts.select(row, "text").mapInArrow(_squeezed, "row struct<doc_id:bigint,_doc:bigint,_h:int>, data binary").select("row.*", "data")
+    keyed = texts.select(row, "text").transform(in_arrow, _squeezed, "row struct<doc_id:bigint,_doc:bigint,_h:int>, data binary").select("row.*", "data")
     joined = keyed.join(found, ["_doc", "_h"], "left").select("doc_id", "data", "_runs")
-    out = joined.mapInArrow(lambda it: _removed(it, window), "doc_id long, n_words long, n_removed long, kept_text string")
+    out = joined.transform(in_arrow, lambda it: _removed(it, window), "doc_id long, n_words long, n_removed long, kept_text string")
     return out
 
 

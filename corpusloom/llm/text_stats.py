@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import WORD, bound_batches
+from corpusloom.llm.common import WORD, bound_batches, in_arrow
 
 SYMBOLS = "#*$%&|<>"
 #: Words from which repeated windows are found by sorting ranks, not by a set of tuples.
@@ -75,5 +75,5 @@ def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
     bound_batches(docs.sparkSession)
     row = F.struct(*keep).alias("row")
     kind = docs.select(row).dtypes[0][1]
-    out = docs.select(row, "text").mapInArrow(_batches, f"row {kind}, " + ", ".join(f"{f} long" for f in FIELDS))
+    out = docs.select(row, "text").transform(in_arrow, _batches, f"row {kind}, " + ", ".join(f"{f} long" for f in FIELDS))
     return out.select("row.*", *FIELDS)

@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bound_batches, worker_state
+from corpusloom.llm.common import bound_batches, in_arrow, worker_state
 
 #: Characters from which a document is huge, of a chunk, and of the first overlap.
 HUGE, CHUNK, OVERLAP = 1 << 16, 1 << 15, 1 << 9
 #: Words that a worker remembers, about.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Bytes of texts that are encoded at once.
 STEP_BYTES = 8 << 20
 LIMIT = 2048
@@ -88,7 +88,6 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -102,8 +101,7 @@ class WordTokenizer:
         self.letters = np.array(list(map(ord, letters)), "<u4")
         self.words = Tokenizer(self.lib.model)
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        with open(path, encoding="utf-8") as f:
-            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        suffix = getattr(self.lib.model, "end_of_word_suffix", None)
         vocabulary = self.lib.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
@@ -255,12 +253,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text")
     huge = F.length("text") >= HUGE
-    small = rows.filter(~F.coalesce(huge, F.lit(False))).mapInArrow(lambda it: _counts(it, path), f"doc_id {kind}, n_bytes long, n_tokens long")
+    small = rows.filter(~F.coalesce(huge, F.lit(False))).transform(in_arrow, lambda it: _counts(it, path), f"doc_id {kind}, n_bytes long, n_tokens long")
     key = F.struct("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n_bytes"))
     few = rows.filter(huge).select(key.alias("row"), "text")
     row = f"struct<doc_id:{kind},h:bigint,n_bytes:bigint>"
-    pieces = few.mapInArrow(lambda it: _chunks(it, path), f"row {row}, part int, text string").repartition("row", "part")
-    counted = pieces.select("row", "text").mapInArrow(lambda it: _spliced(it, path), f"row {row}, n_tokens long")
+    pieces = few.transform(in_arrow, lambda it: _chunks(it, path), f"row {row}, part int, text string").repartition("row", "part")
+    counted = pieces.select("row", "text").transform(in_arrow, lambda it: _spliced(it, path), f"row {row}, n_tokens long")
     # rows that repeat a huge document, text and all, have been cut into repeated pieces: their count says how often
     copies = rows.filter(huge).groupBy(key.alias("row")).agg(F.count("*").alias("n"))
     joined = counted.groupBy("row").agg(F.sum("n_tokens").alias("all_tokens")).join(copies, "row")

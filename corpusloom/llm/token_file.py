@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bound_batches, scratch
+from corpusloom.llm.common import bound_batches, in_arrow, scratch
 from corpusloom.llm.token_counts import steps, tokenizer
 
 MAGIC, VERSION = b"CLTK", 2
@@ -372,7 +372,7 @@ def write_tokens(docs: DataFrame, path: str, to: str, end_id: int = END_ID) -> N
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # many rows of one id must not meet in one task: a hash of the text spreads them, and orders them
     ordered = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h")
-    ordered.mapInArrow(lambda it: _shards(it, path, end_id), SHARDS).write.parquet(to)
+    ordered.transform(in_arrow, lambda it: _shards(it, path, end_id), SHARDS).write.parquet(to)
 
 
 def _documents(batches):
@@ -406,7 +406,7 @@ def read_tokens(spark, at: str) -> DataFrame:
     inner = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("inner", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(F.broadcast(before), "part").select("part", "shard", (F.col("inner") + F.col("before")).alias("base"))
     joined = shards.select("part", "shard", "doc_ids", "data").join(F.broadcast(bases), ["part", "shard"])
-    return joined.select("part", "shard", "base", "doc_ids", "data").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return joined.select("part", "shard", "base", "doc_ids", "data").transform(in_arrow, _documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, path: str, to: str | None = None, end_id: int = END_ID) -> DataFrame:

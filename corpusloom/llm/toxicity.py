@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bound_batches, materialise
+from corpusloom.llm.common import bound_batches, in_arrow, materialise
 
 #: Labelled rows that are learned from at most: those with the smallest hashes of doc_id.
 LABELLED = 20_000
@@ -77,11 +77,11 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_other: int) -> dict[str, floa
     """
     spark = rows.sparkSession
     least = max(LEAST_TEXTS, int(LEAST_SHARE * n_toxic))
-    of_toxic = rows.filter("label = 1").select("text").mapInArrow(_contexts, "entry string, context long").distinct()
+    of_toxic = rows.filter("label = 1").select("text").transform(in_arrow, _contexts, "entry string, context long").distinct()
     often = of_toxic.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     counts = {r.entry: min(r.n, n_toxic) for r in often.orderBy(F.desc("n"), "entry").limit(50 * ENTRIES).collect()}
     held = spark.sparkContext.broadcast(set(counts))
-    other = rows.filter("label = 0").select("text").mapInArrow(lambda it: _texts_with(it, held), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    other = rows.filter("label = 0").select("text").transform(in_arrow, lambda it: _texts_with(it, held), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
     others = {r.entry: r.n for r in other.collect()}
     return choose(counts, others, n_toxic, n_other)
 
@@ -240,11 +240,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_limit: int = LABELL
     lexicon = learn_lexicon(dealt, counts.get(1, 0), counts.get(0, 0)) if counts.get(1) else {}
     held = spark.sparkContext.broadcast(lexicon)
     seen = rows.select(F.struct("doc_id", "label").alias("row"), "text")
-    seen = seen.mapInArrow(lambda it: _features(it, held), f"row {seen.dtypes[0][1]}, x array<double>").orderBy("row.doc_id", "row.label", "x").limit(2 * train_limit).collect()
+    seen = seen.transform(in_arrow, lambda it: _features(it, held), f"row {seen.dtypes[0][1]}, x array<double>").orderBy("row.doc_id", "row.label", "x").limit(2 * train_limit).collect()
     x = np.array([r.x for r in seen]).reshape(len(seen), len(KINDS) * GROUPS + 5)
     label = np.array([r.row.label for r in seen], int)
     weights = train(inputs(x), label_model(votes(x), label)).tolist()
     kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.select("doc_id", "text").mapInArrow(lambda it: _scores(it, held, weights), f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").transform(in_arrow, lambda it: _scores(it, held, weights), f"doc_id {kind}, score double")
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
