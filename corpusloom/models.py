@@ -118,9 +118,13 @@ def generate(model, prompt: str, system: str | None = None) -> str:
     return _THINK.sub("", model.call(prompt, system) or "").strip()
 
 
-#: Analysers by the prefix of a model's name; the first that fits is made, else the offline one.
+#: Analysers by the prefix of a model's name.
 ENGINES: dict[str, Callable[[str], object]] = {"extractive": lambda name: ExtractiveAnalyser(name)}
 
 
 def analyser(name: str):
-    return next((make for prefix, make in ENGINES.items() if name.startswith(prefix)), lambda n: ExtractiveAnalyser(n))(name)
+    """The analyser of a model's name; a name that no engine knows is a mistake of the settings, and raises."""
+    for prefix, make in ENGINES.items():
+        if name.startswith(prefix):
+            return make(name)
+    raise ValueError(f"no engine for the model {name!r}; known prefixes: {', '.join(ENGINES)}")

@@ -1,13 +1,16 @@
 """Tables of snapshots on any store that Spark reads: a repository's new version is written beside the old, then named current.
 
-Layout: <root>/<table>/version=<n>/repo=<r>/kind=<k>/*.parquet and <root>/<table>/_current.json with each repository's version.
-A change of one repository rewrites that one. Readers see the versions that the manifest names, all or nothing.
+Layout: <root>/<table>/version=<v>/repo=<r>/kind=<k>/*.parquet and <root>/<table>/_current/<r>/<n>.json, which names a version; the largest n is current.
+A change of one repository rewrites that one and adds a number, so manifests are never replaced, and writers of different repositories don't meet. Two
+writers of one repository want the same number, and the second fails. The version before the current one stays until the next write, so what
+was read from it can still be used.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +36,15 @@ class Store:
         return json.loads(self._get(f"{self.root}/_schema.json"))["version"]
 
     def _put(self, path: str, value: dict) -> None:
-        """Writes beside and renames, so a reader never sees half a manifest."""
+        """Writes beside and renames, so a reader never sees half a file; what is there already is not replaced."""
         fs, at = self._fs(path)
-        new = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+        new = self.spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f"_{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        fs.delete(at, False)
-        if not fs.rename(new, at):
-            raise OSError(f"can't replace {path}")
+        if fs.exists(at) or not fs.rename(new, at):
+            fs.delete(new, False)
+            raise OSError(f"{path} is there already: another writer was first")
 
     def _get(self, path: str) -> str | None:
         fs, at = self._fs(path)
@@ -53,13 +56,25 @@ class Store:
         finally:
             with_.close()
 
-    def current(self, table: str) -> dict[str, str]:
-        return json.loads(self._get(f"{self.root}/{table}/_current.json") or "{}")
+    def _numbers(self, table: str, repo: str) -> list[int]:
+        """Numbers of a repository's manifests, ascending."""
+        fs, at = self._fs(f"{self.root}/{table}/_current/{quote(repo, safe='')}")
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def _named(self, table: str, repo: str, number: int) -> str | None:
+        return json.loads(self._get(f"{self.root}/{table}/_current/{quote(repo, safe='')}/{number:012}.json") or "{}").get("version")
+
+    def current(self, table: str, repo: str | None = None) -> dict[str, str]:
+        """The version of each repository, or of one."""
+        fs, at = self._fs(f"{self.root}/{table}/_current")
+        repos = [repo] if repo is not None else [unquote(x.getPath().getName()) for x in fs.listStatus(at)] if fs.exists(at) else []
+        found = {r: self._named(table, r, n[-1]) for r in repos if (n := self._numbers(table, r))}
+        return {r: v for r, v in found.items() if v}
 
     def read(self, table: str, repo: str | None = None) -> DataFrame:
         """The current rows, of one repository or of all; only their folders are listed."""
-        shape, now = self.shapes[table], self.current(table)
-        versions = {r: v for r, v in now.items() if repo is None or r == repo}
+        shape, versions = self.shapes[table], self.current(table, repo)
         if not versions:
             return self.spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in shape.fields]))
         full = T.StructType([*[T.StructField(f.name, f.dataType) for f in shape.fields if f.name not in ("repo", "kind")], T.StructField("version", T.StringType()), T.StructField("repo", T.StringType()), T.StructField("kind", T.StringType())])
@@ -69,17 +84,16 @@ class Store:
 
     def write(self, table: str, repo: str, rows: DataFrame) -> None:
         """Makes rows the repository's current ones. Rows may be made from the current version: that stays until the new one is named."""
-        version, now = uuid.uuid4().hex, self.current(table)
+        version, numbers = uuid.uuid4().hex, self._numbers(table, repo)
         shape = self.shapes[table]
         at = f"{self.root}/{table}/version={version}"
         rows.where(F.col("repo") == repo).select(*[f.name for f in shape.fields]).write.partitionBy("repo", "kind").parquet(at)
-        old = now.get(repo)
         fs, path = self._fs(at)
-        if any(s.isDirectory() for s in fs.listStatus(path)):
-            now[repo] = version
-        else:  # no rows: the repository goes
-            now.pop(repo, None)
+        if not any(s.isDirectory() for s in fs.listStatus(path)):  # no rows: the repository goes
             fs.delete(path, True)
-        self._put(f"{self.root}/{table}/_current.json", now)
-        if old:
-            fs.delete(self._fs(f"{self.root}/{table}/version={old}")[1], True)
+            version = None
+        self._put(f"{self.root}/{table}/_current/{quote(repo, safe='')}/{numbers[-1] + 1 if numbers else 0:012}.json", {"version": version})
+        for n in numbers[:-1]:
+            if old := self._named(table, repo, n):
+                fs.delete(self._fs(f"{self.root}/{table}/version={old}")[1], True)
+            fs.delete(self._fs(f"{self.root}/{table}/_current/{quote(repo, safe='')}/{n:012}.json")[1], False)

@@ -27,6 +27,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not (context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().isDefined()):
         import tempfile
 
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
     return df.checkpoint()
 
@@ -69,8 +71,8 @@ class Engine:
         return df.mapInPandas(run, out).where("body <> ''")
 
     def _upsert(self, repo: str, batch: DataFrame, existing: DataFrame) -> DataFrame:
-        """The repository's fragments with the batch's, which gets ids, vectors and times."""
-        rows = self.embedded(batch.withColumn("id", E.fragment_id("repo", "path", "kind", "symbol")).withColumn("updated_at", F.current_timestamp()), "content")
+        """The repository's fragments with the batch's, which gets ids, vectors and times. Each text goes to the model once: what comes back is kept."""
+        rows = checkpointed(self.embedded(batch.withColumn("id", E.fragment_id("repo", "path", "kind", "symbol")).withColumn("updated_at", F.current_timestamp()), "content"))
         return R.upsert(existing, rows.select(COLUMNS), KEY)
 
     # -- code ------------------------------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Prompts of the notes, as columns. A leaf's prompt has signatures alone unless bodies are asked for."""
+"""Prompts of the notes, as columns: a task, then the facts as tagged blocks. A leaf has signatures alone unless bodies are asked for."""
 
 from __future__ import annotations
 
@@ -9,29 +9,33 @@ SYSTEM = "You write short factual notes on source code for a search index. Use o
 DIRECTIVE = "\n/no_think"
 
 
-def _list(lines: Column) -> Column:
-    return F.when(F.size(lines) > 0, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise("- (none)")
+def _block(tag: str, body: Column) -> Column:
+    """A tagged block; empty facts give no block."""
+    return F.when(F.length(body) > 0, F.concat(F.lit(f"<{tag}>\n"), body, F.lit(f"\n</{tag}>\n"))).otherwise("")
+
+
+def _prompt(task: str, *blocks: Column) -> Column:
+    return F.concat(F.lit(f"Write {task}\n"), *blocks, F.lit(DIRECTIVE.lstrip("\n")))
 
 
 def leaf(signature: Column, path: Column, signatures: Column) -> Column:
-    return F.concat(
-        F.lit("Class: "), signature, F.lit("\nFile: "), path, F.lit("\nMethods:\n"), _list(signatures),
-        F.lit("\n\nWrite two to four sentences in plain prose: what the class is for, its main operations, and what it works with. Say nothing that the signatures don't show." + DIRECTIVE),
+    return _prompt(
+        "a note of two to four plain sentences on this type: its purpose, what it offers, what it depends on. Guess nothing beyond its signatures.",
+        _block("type", F.concat(signature, F.lit("  // "), path)), _block("signatures", F.array_join(signatures, "\n")),
     )
 
 
 def leaf_bodies(signature: Column, path: Column, fields: Column, bodies: Column) -> Column:
-    return F.concat(
-        F.lit("Class: "), signature, F.lit("\nFile: "), path, F.lit("\nFields:\n"), _list(fields), F.lit("\n\nImplementation:\n"),
-        F.when(F.size(bodies) > 0, F.array_join(bodies, "\n\n")).otherwise("(no substantive methods)"),
-        F.lit("\n\nWrite four to eight sentences in plain prose: what the class is for, how its main operations work, what state it holds. Say nothing that the code doesn't show." + DIRECTIVE),
+    return _prompt(
+        "a note of four to eight plain sentences on this type: its purpose, the state it keeps, how its operations work. Guess nothing beyond its code.",
+        _block("type", F.concat(signature, F.lit("  // "), path)), _block("state", F.array_join(fields, "\n")), _block("code", F.array_join(bodies, "\n\n")),
     )
 
 
 def rollup(directory: Column, kind: Column, children: Column) -> Column:
     """children: an array of structs (kind, name, body)."""
-    lines = F.transform(children, lambda c: F.concat(c["name"], F.lit(" ["), c["kind"], F.lit("]: "), F.trim(c["body"])))
-    return F.concat(
-        F.initcap(kind), F.lit(": "), F.when(directory == "", "(repository root)").otherwise(directory), F.lit("\nComponents:\n"), _list(lines),
-        F.lit("\n\nWrite three to five sentences in plain prose on what this part is for as a whole, the areas it groups and how they relate." + DIRECTIVE),
+    notes = F.transform(children, lambda c: F.concat(c["kind"], F.lit(" "), c["name"], F.lit(" = "), F.regexp_replace(F.trim(c["body"]), r"\s+", " ")))
+    return _prompt(
+        "a note of three to five plain sentences on this part of the code as a whole: what it is for, what it is made of, how that fits together.",
+        _block("part", F.concat(kind, F.lit(" at /"), directory)), _block("notes", F.array_join(notes, "\n")),
     )

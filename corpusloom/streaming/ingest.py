@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.plans.engine import Engine
+from corpusloom.plans.engine import Engine, checkpointed
 from corpusloom.sources import files as S
 
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
@@ -24,6 +24,6 @@ def ingest_stream(engine: Engine, docs_path: str, repo: str, checkpoint: str):
     def batch(df: DataFrame, _: int) -> None:
         root = docs_path.rstrip("/") + "/"
         local = df.select(F.when(F.startswith("path", F.lit(root)), F.substr("path", F.lit(len(root) + 1))).otherwise(F.col("path")).alias("path"), "content")
-        engine.ingest_parsed(S.parsed_documents(local, engine.settings.max_chars), repo)
+        engine.ingest_parsed(checkpointed(S.parsed_documents(local, engine.settings.max_chars)), repo)
 
     return document_stream(engine, docs_path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

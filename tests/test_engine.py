@@ -227,3 +227,46 @@ def test_embedding_udf(spark):
     df = spark.createDataFrame([("alpha beta",), (None,), ("alpha beta",)], "t string").select(embed_text(models.HashingEmbedder(16))("t").alias("v"))
     a, b, c = (r.v for r in df.collect())
     assert a == c != b and len(b) == 16
+
+
+def test_unknown_models_are_no_offline_stub():
+    with pytest.raises(ValueError):
+        models.analyser("cloud:large")
+
+
+def test_texts_are_embedded_once(spark, tmp_path):
+    """A counting embedder: as many texts as sections, though upsert, prune and write all use the rows."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    class Counting(models.HashingEmbedder):
+        def call(self, texts):
+            import uuid
+
+            (log / uuid.uuid4().hex).write_text(str(len(texts)))
+            return super().call(texts)
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for i in range(5):
+        (docs / f"{i}.html").write_text(f"<html><body><h1>Title {i}</h1><p>Body {i}.</p></body></html>")
+    engine = Engine(spark, replace(config.load(), store=str(tmp_path / "store")), embedder=Counting())
+    assert engine.ingest_docs(str(docs), "r")["ingested"] == 5
+    assert sum(int(p.read_text()) for p in log.iterdir()) == 5
+
+
+def test_readers_survive_a_write(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusloom import schema
+    from corpusloom.operators.snapshot import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    row = lambda i: spark.createDataFrame([[f"{f.name}{i}" if f.dataType.simpleString() == "string" else i for f in schema.EDGE.fields]], schema.EDGE).withColumn("repo", F.lit("a/b"))
+    store.write("edge", "a/b", row(1))
+    held = store.read("edge", "a/b")
+    store.write("edge", "a/b", row(2))
+    assert held.count() == 1 and store.read("edge").count() == 1
+    assert list(store.current("edge")) == ["a/b"]
+    store.write("edge", "a/b", row(3).limit(0))
+    assert store.current("edge") == {} and store.read("edge").count() == 0
