@@ -102,13 +102,13 @@ def incremental_delta(spark, sf_dir):
 
 @query("""
 WITH existing AS (SELECT doc_id AS k, n_chars AS v, 0 AS seq FROM documents WHERE doc_id % 2 = 0),
-batch AS (SELECT k, v, seq FROM (SELECT doc_id // 3 AS k, n_chars + 1 AS v, doc_id AS seq, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id DESC) AS n FROM documents WHERE doc_id % 7 <> 0) WHERE n = 1)
+batch AS (SELECT k, v, seq FROM (SELECT doc_id // 3 AS k, n_chars + 1 AS v, doc_id AS seq, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id DESC) AS n FROM documents WHERE doc_id % 2 = 1 OR doc_id % 7 <> 0) WHERE n = 1)
 SELECT k, v, seq FROM batch UNION ALL SELECT k, v, seq FROM existing WHERE k NOT IN (SELECT k FROM batch)
 """)
 def upsert_snapshot(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     existing = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("k"), F.col("n_chars").alias("v"), F.lit(0).cast("long").alias("seq"))
-    batch = docs.where("doc_id % 7 <> 0").select(F.floor(F.col("doc_id") / 3).alias("k"), (F.col("n_chars") + 1).alias("v"), F.col("doc_id").alias("seq"))
+    batch = docs.where("doc_id % 2 = 1 OR doc_id % 7 <> 0").select(F.floor(F.col("doc_id") / 3).alias("k"), (F.col("n_chars") + 1).alias("v"), F.col("doc_id").alias("seq"))
     return R.upsert(existing, R.last_write(batch, ["k"], "seq"), ["k"])
 
 
@@ -176,29 +176,37 @@ def linkable_symbols(spark, sf_dir):
 
 
 _MENTIONS = """
-WITH names AS (SELECT DISTINCT item_id, symbol FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS symbol FROM benchmark) WHERE length(symbol) >= 10),
-tokens AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS symbol FROM documents),
-pairs AS (SELECT DISTINCT doc_id, item_id, n.symbol FROM tokens t JOIN names n ON t.symbol = n.symbol)
+WITH names AS (SELECT min(p_partkey) AS item_id, symbol FROM (SELECT p_partkey, upper(w[1][1]) || w[1][2:] || upper(w[2][1]) || w[2][2:] AS symbol FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)) GROUP BY 2),
+named AS (SELECT p_partkey, upper(w[1][1]) || w[1][2:] || upper(w[2][1]) || w[2][2:] AS symbol FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)),
+pairs AS (SELECT DISTINCT l_orderkey AS doc_id, item_id, symbol FROM lineitem JOIN named ON l_partkey = p_partkey JOIN names USING (symbol))
 """
 
 
+def _part_names(spark, sf_dir):
+    """p_partkey and a class name made of the first two words of its name."""
+    word = lambda i: F.split_part(F.col("p_name"), F.lit(" "), F.lit(i))
+    hump = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.concat(hump(word(1)), hump(word(2))).alias("symbol"))
+
+
 def _mentions(spark, sf_dir):
-    names = _t(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(E.identifiers("text"))).alias("symbol")).where(F.length("symbol") >= 10)
-    tokens = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(E.identifiers("text"))).alias("symbol")).where(F.length("symbol") >= 10)
-    return tokens.join(names, "symbol").select("doc_id", "item_id", "symbol").distinct()
+    """The link pass over a document for each order, whose text names the classes of its parts; and the classes."""
+    named, repo = _part_names(spark, sf_dir), F.lit("r").alias("repo")
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(named, "p_partkey")
+    docs = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("symbol")), lambda x: F.concat(F.lit("the order takes a "), x, F.lit("."))), "\n").alias("content"))
+    classes = named.groupBy("symbol").agg(F.min("p_partkey").alias("id")).select("id", repo, "symbol")
+    return R.mention_edges(docs.select("id", repo, "content"), classes), classes
 
 
 @query(_MENTIONS + "SELECT doc_id, item_id, symbol FROM pairs")
 def doc_mentions(spark, sf_dir):
-    return _mentions(spark, sf_dir)
+    edges, classes = _mentions(spark, sf_dir)
+    return edges.join(classes.withColumnRenamed("id", "dst_id"), "dst_id").select(F.col("src_id").alias("doc_id"), F.col("dst_id").alias("item_id"), "symbol")
 
 
 @query(_MENTIONS + "SELECT doc_id AS src_id, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS mentions FROM pairs GROUP BY 1")
 def mentions_by_doc(spark, sf_dir):
-    found = _mentions(spark, sf_dir)
-    edges = found.select(F.col("doc_id").alias("src_id"), F.xxhash64("symbol").alias("dst_id"))
-    classes = found.select(F.xxhash64("symbol").alias("id"), "symbol").distinct()
-    return R.mentions_by_doc(edges, classes).select("src_id", F.array_join("mentions", ",").alias("mentions"))
+    return R.mentions_by_doc(*_mentions(spark, sf_dir)).select("src_id", F.array_join("mentions", ",").alias("mentions"))
 
 
 _LINKS = "SELECT DISTINCT page_id, url, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS dst_symbol FROM pages"
@@ -223,11 +231,11 @@ def find_usages(spark, sf_dir):
 
 @query("""
 SELECT DISTINCT CAST(d.p_partkey AS VARCHAR) AS path, d.p_name AS symbol FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN part d ON d.p_name = split_part(p.p_brand || '.' || p.p_name, '.', 2)
-WHERE l.l_suppkey = 1 AND l.l_quantity > 45
+WHERE l.l_suppkey = 1
 """)
 def get_deps(spark, sf_dir):
     part = _t(spark, sf_dir, "part")
-    lines = _t(spark, sf_dir, "lineitem").where("l_suppkey = 1 AND l_quantity > 45").select("l_suppkey", F.col("l_partkey").alias("p_partkey"))
+    lines = _t(spark, sf_dir, "lineitem").where("l_suppkey = 1").select("l_suppkey", F.col("l_partkey").alias("p_partkey"))
     edges = lines.join(part, "p_partkey").select((-1 - F.col("l_suppkey")).alias("src_id"), F.concat_ws(".", "p_brand", "p_name").alias("dst_symbol"), F.lit("imports").alias("kind"))
     classes = part.select(F.col("p_partkey").alias("id"), F.lit("r").alias("repo"), F.lit("class").alias("kind"), F.col("p_name").alias("symbol"), F.col("p_partkey").cast("string").alias("path"))
     source = _t(spark, sf_dir, "supplier").where("s_suppkey = 1").select((-1 - F.col("s_suppkey")).alias("id"), F.lit("r").alias("repo"), F.lit("class").alias("kind"), F.lit("Source").alias("symbol"), F.lit("-").alias("path"))
@@ -235,16 +243,16 @@ def get_deps(spark, sf_dir):
 
 
 @query(_MENTIONS + """
-, linked AS (SELECT DISTINCT doc_id, 0 AS tier, CAST(doc_id AS BIGINT) AS rank FROM pairs WHERE symbol = (SELECT min(symbol) FROM pairs)),
-semantic AS (SELECT doc_id, 1 AS tier, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10)
+, linked AS (SELECT DISTINCT doc_id, 0 AS tier, doc_id AS rank FROM pairs WHERE symbol = (SELECT min(symbol) FROM pairs)),
+semantic AS (SELECT o_orderkey AS doc_id, 1 AS tier, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10)
 SELECT doc_id, tier FROM (SELECT * FROM linked UNION ALL SELECT * FROM semantic WHERE doc_id NOT IN (SELECT doc_id FROM linked)) ORDER BY tier, rank LIMIT 10
 """)
 def linked_then_semantic(spark, sf_dir):
-    pairs = _mentions(spark, sf_dir)
-    first = pairs.agg(F.min("symbol").alias("symbol"))
-    linked = pairs.join(F.broadcast(first), "symbol", "left_semi").select("doc_id", F.col("doc_id").alias("rank")).distinct()
-    top = _t(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(10)
-    semantic = top.select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("rank"))
+    edges, classes = _mentions(spark, sf_dir)
+    first = classes.join(edges.select(F.col("dst_id").alias("id")), "id", "left_semi").orderBy("symbol").limit(1)
+    linked = edges.join(F.broadcast(first.select(F.col("id").alias("dst_id"))), "dst_id", "left_semi").select(F.col("src_id").alias("doc_id"), F.col("src_id").alias("rank")).distinct()
+    top = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_totalprice").orderBy(F.desc("o_totalprice"), "doc_id").limit(10)
+    semantic = top.select("doc_id", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "doc_id")).cast("long").alias("rank"))
     return R.tiered(linked, semantic, ["doc_id"], ["rank"], 10).select("doc_id", "tier")
 
 
@@ -299,11 +307,11 @@ def ancestor_dirs(spark, sf_dir):
 def _deep_dirs(spark, sf_dir):
     """A deep tree: the digits of an order's key as nested directories, below two links that hold nothing else."""
     digits = F.regexp_replace(F.col("o_orderkey").cast("string"), "(.)", "/$1")
-    return _t(spark, sf_dir, "orders").where("o_orderkey % 37 = 0").select(F.concat(F.lit("a/b"), digits).alias("dir"))
+    return _t(spark, sf_dir, "orders").select(F.concat(F.lit("a/b"), digits).alias("dir"))
 
 
 _TREE = """
-WITH leaves AS (SELECT 'a/b' || regexp_replace(CAST(o_orderkey AS VARCHAR), '(.)', '/\\1', 'g') AS dir FROM orders WHERE o_orderkey % 37 = 0),
+WITH leaves AS (SELECT 'a/b' || regexp_replace(CAST(o_orderkey AS VARCHAR), '(.)', '/\\1', 'g') AS dir FROM orders),
 ups AS (SELECT DISTINCT CASE WHEN i = 0 THEN '' ELSE array_to_string(s[1:i], '/') END AS dir FROM (SELECT s, unnest(range(0, len(s) + 1)) AS i FROM (SELECT string_split(dir, '/') AS s FROM leaves))),
 own AS (SELECT dir, count(*) AS n FROM leaves GROUP BY 1),
 kids AS (SELECT CASE WHEN contains(dir, '/') THEN regexp_replace(dir, '/[^/]*$', '') ELSE '' END AS dir, count(*) AS k FROM ups WHERE dir <> '' GROUP BY 1),
@@ -317,7 +325,9 @@ def _kept_dirs(spark, sf_dir):
 
 
 @query(_TREE + """
-SELECT a.dir, a.leaves, (SELECT max(b.dir) FROM kept b WHERE a.dir <> '' AND b.dir <> a.dir AND (b.dir = '' OR starts_with(a.dir, b.dir || '/'))) AS parent FROM kept a
+, above AS (SELECT dir, CASE WHEN i = 0 THEN '' ELSE array_to_string(s[1:i], '/') END AS up FROM (SELECT dir, s, unnest(range(0, len(s))) AS i FROM (SELECT dir, string_split(dir, '/') AS s FROM kept WHERE dir <> ''))),
+nearest AS (SELECT above.dir, max(up) AS parent FROM above JOIN kept b ON b.dir = up GROUP BY 1)
+SELECT a.dir, a.leaves, parent FROM kept a LEFT JOIN nearest USING (dir)
 """)
 def collapse_chains(spark, sf_dir):
     return _kept_dirs(spark, sf_dir).select("dir", "leaves", "parent")
@@ -435,7 +445,10 @@ def html_sections(spark, sf_dir):
     return udtf.html_sections(_t(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
+@query("""
+SELECT p_partkey, p_name AS symbol, true AS has_table, 'html' AS format, CAST(16 + len(p_brand) + len(CAST(p_size AS VARCHAR)) AS INTEGER) AS n_chars FROM part
+UNION ALL SELECT p_partkey, p_name, true, 'md', CAST(38 + len(p_brand) + len(CAST(p_size AS VARCHAR)) AS INTEGER) FROM part
+""")
 def html_tables_md(spark, sf_dir):
     """Pages with a table each, built of parts: as HTML, and as the markdown that says the same."""
     from corpusloom.functions import udtf
@@ -449,7 +462,14 @@ def html_tables_md(spark, sf_dir):
     return a.unionByName(b)
 
 
-@query()
+@query("""
+WITH c AS (SELECT 'p/Part' || p_partkey || '.java' AS path, 'Part' || p_partkey AS t FROM part)
+SELECT path, 'class' AS kind, t AS symbol, 'public class ' || t AS detail FROM c
+UNION ALL SELECT path, 'method', t || '.total', 'public int total(int n)' FROM c
+UNION ALL SELECT path, 'imports', t, 'q.Part0' FROM c
+UNION ALL SELECT path, 'contains', t, t || '.total' FROM c
+UNION ALL SELECT path, 'calls', t || '.total', unnest(['scale', 'length']) FROM c
+""")
 def java_index(spark, sf_dir):
     """Classes generated from parts, parsed to fragments and edges."""
     from corpusloom.functions import udtf
