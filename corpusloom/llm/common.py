@@ -34,9 +34,11 @@ def session() -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or in local mode our own where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corpusloom-")
         weakref.finalize(spark.sparkContext, shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)

@@ -44,7 +44,7 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc"), F.xxhash64("text").alias("h"), body)
     lines = lines.select("doc", "h", "line", F.struct(F.xxhash64("body").alias("x"), F.xxhash64(F.lit("line"), F.col("body")).alias("y")).alias("key"))
     lines = materialise(lines.dropDuplicates(["doc", "h", "line"]), "lines")  # rows that repeat id and text are one place
-    total = docs.count()
+    total = lines.count()  # no later table of places has more rows
     size, active, found = 1, _ranked(lines, total), []
     while True:
         here = F.struct("doc", "h", "line")

@@ -102,7 +102,7 @@ def _scored(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     stats = text_stats(docs.select("doc_id", F.col(host).alias("_host"), F.col(path).alias("_path"), known_by, "text"), "doc_id", "_host", "_path", "_h64")
     features = materialise(stats.select("doc_id", "_host", "_path", "_h64", *[v.alias(k) for k, v in rates().items()]), "quality-rates")
     names = list(EDGES)
-    known = features.join(F.broadcast(sample), "doc_id").orderBy("doc_id").limit(2 * train_limit).select(*names, "_good").collect()
+    known = features.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_h64").limit(train_limit).select(*names, "_good").collect()
     rows = np.array([[float(r[k]) for k in names] for r in known]).reshape(-1, len(names))
     w = fit(design(rows), np.array([r["_good"] for r in known]))
 

@@ -100,4 +100,31 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLES = {"op2_decontamination": _OP2, "op3_substring_dedup": _OP3}
+_OP5 = """
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+    )
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), sides AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT a AS d, r FROM reach JOIN sides ON b = d
+)
+SELECT d AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id, d = min(r) AS kept FROM reach LEFT JOIN sizes ON doc_id = d GROUP BY d
+"""
+
+_OP6 = """
+WITH lines AS (SELECT doc_id, i, l[i] AS body FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+placed AS (SELECT doc_id, i, body, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1 AS later FROM lines)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE later) AS n_removed, sha256(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE NOT later), '')) AS kept_sha256 FROM placed GROUP BY doc_id
+"""
+
+ORACLES = {"op2_decontamination": _OP2, "op3_substring_dedup": _OP3, "op5_near_dedup": _OP5, "op6_line_dedup": _OP6}

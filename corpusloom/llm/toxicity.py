@@ -23,8 +23,8 @@ from corpusloom.llm.common import bound_batches, in_arrow, materialise
 
 #: Labelled rows that are learned from at most: those with the smallest hashes of doc_id.
 LABELLED = 20_000
-#: Share of toxic texts, and number of them, that an entry of the lexicon must be in; its log odds; entries at most.
-LEAST_SHARE, LEAST_TEXTS, LEAST_ODDS, ENTRIES = 0.008, 4, 2.8, 2_000
+#: Share of toxic texts, and number of them, that an entry of the lexicon must be in; its log odds.
+LEAST_SHARE, LEAST_TEXTS, LEAST_ODDS = 0.008, 4, 2.8
 #: Lengths of beginnings and ends that are entries too.
 PARTS = (4, 5, 6, 7, 8)
 #: How often a given label is taken to be right.
@@ -79,7 +79,8 @@ def learn_lexicon(rows: DataFrame, n_toxic: int, n_other: int) -> dict[str, floa
     least = max(LEAST_TEXTS, int(LEAST_SHARE * n_toxic))
     of_toxic = rows.filter("label = 1").select("text").transform(in_arrow, _contexts, "entry string, context long").distinct()
     often = of_toxic.groupBy("entry").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    counts = {r.entry: min(r.n, n_toxic) for r in often.orderBy(F.desc("n"), "entry").limit(50 * ENTRIES).collect()}
+    # no more contexts count than there are texts, as the odds compare shares of texts
+    counts = {r.entry: min(r.n, n_toxic) for r in often.collect()}
     held = spark.sparkContext.broadcast(set(counts))
     other = rows.filter("label = 0").select("text").transform(in_arrow, lambda it: _texts_with(it, held), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
     others = {r.entry: r.n for r in other.collect()}
@@ -99,7 +100,7 @@ def choose(counts: dict[str, int], others: dict[str, int], n_toxic: int, n_other
         # what a shorter part in the lexicon tells already is left to that
         if not any(u in good and weight[u] >= weight[e] for u in up):
             keep.add(e)
-    return {e: odds[e] for e in sorted(keep, key=lambda e: (-weight[e], e))[:ENTRIES]}
+    return {e: odds[e] for e in sorted(keep, key=lambda e: (-weight[e], e))}
 
 
 class Voters:
@@ -225,7 +226,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_limit: int = LABELL
 
     docs: doc_id, text; labels: doc_id, toxic (1, 0, null: no label), of which rows with crc32(doc_id) mod 3 = 1 are never
     learned from. Null and empty texts have no words and get the score of a text without matches. Repeated rows are scored
-    each, alike; repeated labels count each. Without toxic labels nothing is learned and all scores are the smoothed rate.
+    each, alike, and learned from once; of different labelled rows train_limit are learned from, those with the least hashes of doc_id. Without toxic labels nothing is learned and all scores are the smoothed rate.
     An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -234,13 +235,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_limit: int = LABELL
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select(F.col("doc_id"), F.col("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_limit)
     )
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", "doc_id"), "toxicity-sample")
+    # an id may have many rows: of different labelled rows, too, no more are learned from than train_limit
+    key = ["doc_id", "h", "label"]
+    labelled = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(*key[::2], F.xxhash64("text").alias("h"), "text"), "toxicity-labelled")
+    chosen = labelled.select(key).distinct().orderBy(F.xxhash64("doc_id"), *key).limit(train_limit)
+    rows = materialise(labelled.join(F.broadcast(chosen), key).dropDuplicates(key).select("text", "label", "doc_id"), "toxicity-sample")
     counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     dealt = rows.select("text", "label", "doc_id").repartition(32, "doc_id").select("text", "label")
     lexicon = learn_lexicon(dealt, counts.get(1, 0), counts.get(0, 0)) if counts.get(1) else {}
     held = spark.sparkContext.broadcast(lexicon)
     seen = rows.select(F.struct("doc_id", "label").alias("row"), "text")
-    seen = seen.transform(in_arrow, lambda it: _features(it, held), f"row {seen.dtypes[0][1]}, x array<double>").orderBy("row.doc_id", "row.label", "x").limit(2 * train_limit).collect()
+    seen = seen.transform(in_arrow, lambda it: _features(it, held), f"row {seen.dtypes[0][1]}, x array<double>").orderBy("row.doc_id", "row.label", "x").collect()
     x = np.array([r.x for r in seen]).reshape(len(seen), len(KINDS) * GROUPS + 5)
     label = np.array([r.row.label for r in seen], int)
     weights = train(inputs(x), label_model(votes(x), label)).tolist()
