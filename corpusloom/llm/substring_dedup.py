@@ -7,27 +7,33 @@ sorted by a hash, and neighbours of one hash are compared word by word, each wor
 Within a step of documents windows are compared before anything is sent: one that a smaller doc_id of the step has too
 is decided, so of a passage with a third of all rows each step sends it once. Minimisers that are in more than one
 of HOT windows (such as where a very frequent passage begins, after ever other words) don't gather in a bucket: their
-windows travel singly, to buckets by a hash of the whole window. Packed strings of one step and bucket group are one
-compressed row.
+windows travel singly, to buckets by a hash of the whole window, and in two rounds. The first deals the copies of a window that
+the steps send over salted parts of its bucket and leaves the least doc_id of each part undecided, the second compares those. So
+neither round has more copies of one window in a task than about the square root of the number of steps. Packed strings of one
+step and bucket group are one compressed row.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bytewords import Splitter, Words, mixed
-from corpusloom.llm.common import WORD, in_arrow, materialise, worker_state
+from corpusloom.llm.common import WORD, bound_batches, in_arrow, materialise, worker_state
 
 WINDOW, GRAM = 13, 2
 #: A minimiser is hot when it has more than one in so many of all windows; so no more than this many are.
 HOT = 2_000
 #: Windows in a group of buckets, about, and groups at most.
 GROUP_WINDOWS, GROUPS = 1 << 20, 1 << 20
+#: Windows in a step, about: the salts of the first round follow from it.
+STEP_WINDOWS = 1 << 18
 #: Of the compression of what is sent.
 LEVEL = 6
 #: Null ids come after all others.
@@ -129,10 +135,20 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _super_kmers(batches, hot, groups: int, window: int, gram: int):
-    """Rows (bucket group, data): packed strings, and under groups below 0 the windows that are decided already."""
-    hot = hot.value
-    for s in steps(batches, window, gram):
+def pack_by_group(group, ids, texts, start, n, cut):
+    """Rows (bucket group, data) of strings with ascending bucket groups."""
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0])).tolist()
+    for x, y in zip(heads, [*heads[1:], len(group)], strict=True):
+        yield int(group[x]), pack(ids[x:y], texts[x:y], start[x:y].astype(np.int32), n[x:y].astype(np.int32), np.frombuffer(b" ".join(cut[x:y]), np.uint8))
+
+
+def _super_kmers(batches, hot, groups: int, salts: int, window: int, gram: int):
+    """Rows (bucket group, data): packed strings, and under groups below 0 the windows that are decided already.
+
+    Groups from `groups` on hold single windows: group * salts + salt of the step.
+    """
+    hot, task = hot.value, TaskContext.get().partitionId()
+    for i_step, s in enumerate(steps(batches, window, gram)):
         w, gone = s.words, s.decided()
         out_group, out_data = [], []
         if gone.any():
@@ -150,28 +166,34 @@ def _super_kmers(batches, hot, groups: int, window: int, gram: int):
             first = keep[a]
             bucket = np.where(single[a], mixed(s.h1[first] ^ s.h2[first]), mixed(s.least[first]))
             group = (bucket % np.uint64(groups)).astype(np.int64)
+            salt = int(mixed(np.array([(task << 32) + i_step], np.uint64))[0] % np.uint64(salts))
+            group = np.where(single[a], groups + group * salts + salt, group)
             order = np.argsort(group, kind="stable")
             group, first, n = group[order], first[order], n[order]
             doc, at = s.doc[first], s.at[first]
             start, raw = at - w.begin[doc], w.raw.tobytes()
             cut = [raw[i:j] for i, j in zip(w.start[at].tolist(), w.end[at + n + window - 2].tolist(), strict=True)]
-            ids, texts = s.ids[doc], s.texts[doc]
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0])).tolist()
-            for x, y in zip(heads, [*heads[1:], len(group)], strict=True):
-                out_group.append(int(group[x]))
-                out_data.append(pack(ids[x:y], texts[x:y], start[x:y].astype(np.int32), n[x:y].astype(np.int32), np.frombuffer(b" ".join(cut[x:y]), np.uint8)))
+            for g, data in pack_by_group(group, s.ids[doc], s.texts[doc], start, n, cut):
+                out_group.append(g)
+                out_data.append(data)
         for i in range(0, len(out_group), 64):
             yield pa.RecordBatch.from_arrays([pa.array(out_group[i : i + 64], pa.int64()), pa.array(out_data[i : i + 64], pa.binary())], ["group", "data"])
 
 
 def repeated(parts: list[list[np.ndarray]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, text, at) of the windows in a group of buckets that a document with a smaller id has too."""
+    return compared(parts, window)[0]
+
+
+def compared(parts: list[list[np.ndarray]], window: int):
+    """(doc, text, at) of the windows in a group of buckets that a document with a smaller id has too; and (doc, text, at, bytes) of the others, on call."""
     doc, text, start, n = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(4))
-    split, found = worker_state("splitter_2", Splitter), []
+    split, found, size = worker_state("splitter_2", Splitter), [], 0
     for p in parts:
         w = split.step(p[4], np.array([0, len(p[4])]), 0)
-        found.append((*w.hashes, (w.end - w.start).astype(np.int32)))
-    a, b, length = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.append((*w.hashes, (w.end - w.start).astype(np.int32), w.start + size))
+        size += len(p[4])
+    a, b, length, byte = (np.concatenate(x) for x in zip(*found, strict=True))
     begin = np.cumsum(n + window - 1) - (n + window - 1)
     whose = np.repeat(np.arange(len(n)), n)
     inner = np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n)
@@ -194,14 +216,21 @@ def repeated(parts: list[list[np.ndarray]], window: int) -> tuple[np.ndarray, np
                 new[1:] |= x[at[order[1:]] + i] != x[at[order[:-1]] + i]
     heads = np.flatnonzero(new)
     ds = doc[whose[order]]
-    hit = order[ds > np.repeat(np.minimum.reduceat(ds, heads), np.diff(np.append(heads, len(order))))] if len(order) else order
-    return doc[whose[hit]], text[whose[hit]], start[whose[hit]] + inner[hit]
+    later = ds > np.repeat(np.minimum.reduceat(ds, heads), np.diff(np.append(heads, len(order)))) if len(order) else np.zeros(0, bool)
+    rows = lambda x: (doc[whose[x]], text[whose[x]], start[whose[x]] + inner[x])
+
+    def others():
+        x, raw = order[~later], b"".join(p[4].tobytes() for p in parts)
+        last = at[x] + window - 1
+        return *rows(x), [raw[i:j] for i, j in zip(byte[at[x]].tolist(), (byte[last] + length[last]).tolist(), strict=True)]
+
+    return rows(order[later]), others
 
 
 def by_document(doc: np.ndarray, text: np.ndarray, at: np.ndarray):
     """A batch with the windows of each document as runs (begin, end), in one array."""
     if not len(doc):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.int32()))], ["doc", "text_hash", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32()))], ["doc", "text_hash", "runs"])
     order = np.lexsort((at, text, doc))
     doc, text, at = doc[order], text[order], at[order]
     cut = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(text) != 0)])
@@ -211,29 +240,42 @@ def by_document(doc: np.ndarray, text: np.ndarray, at: np.ndarray):
     docs = np.flatnonzero(cut[a])
     flat = np.stack([at[a], at[b] + 1], 1).reshape(-1).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(np.append(docs, len(a)) * 2, pa.int32()), pa.array(flat, pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(doc[a][docs]), pa.array(text[a][docs].astype(np.int32)), lists], ["doc", "text_hash", "runs"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[a][docs]), pa.array(text[a][docs]), lists], ["doc", "text_hash", "runs"])
 
 
-def _verdicts(batches, window: int):
-    """Windows to remove, from the rows of a task, which are in ascending order of groups."""
-    group, held = None, []
+def _verdicts(batches, groups: int, salts: int, window: int):
+    """Windows to remove, from the rows of a task, which are in ascending order of groups; and of groups from `groups` on, packed, the windows left for the second round."""
 
-    def done():
-        return by_document(*repeated(held, window))
+    def out(found, left=()):
+        known = found.num_rows
+        group, data = [g for g, _ in left], [d for _, d in left]
+        none = lambda kind: pa.nulls(len(left), kind)
+        columns = [pa.concat_arrays([x, none(x.type)]) for x in found.columns]
+        columns += [pa.concat_arrays([pa.nulls(known, kind), pa.array(x, kind)]) for kind, x in ((pa.int64(), group), (pa.binary(), data))]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "text_hash", "runs", "group", "data"])
 
+    def done(group, held):
+        gone, others = compared(held, window)
+        if group < groups:
+            return out(by_document(*gone))
+        doc, text, at, cut = others()
+        same = np.full(len(doc), (group - groups) // salts)
+        return out(by_document(*gone), list(pack_by_group(same, doc, text, at, np.ones(len(doc), np.int32), cut)))
+
+    group, held = None, []
     for batch in batches:
         for g, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             part = unpack(data.as_py())
             if g < 0:
-                yield by_document(*part)
+                yield out(by_document(*part))
                 continue
             if g != group and held:
-                yield done()
+                yield done(group, held)
                 held = []
             group = g
             held.append(part)
     if held:
-        yield done()
+        yield done(group, held)
 
 
 def _squeezed(batches):
@@ -270,7 +312,7 @@ def _removed(batches, window: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], ["row", "n_words", "n_removed", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, groups: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, groups: int | None = None, salts: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space) of each row.
 
     A word is removed if a window of `window` words covers it that also starts in a document with a smaller doc_id; windows
@@ -280,21 +322,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     """
     spark = docs.sparkSession
     gram = min(gram, window)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("h"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     heavy = texts.transform(in_arrow, lambda it: _heavy(it, window, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     heavy = materialise(heavy, "window-counts")
     total = (heavy.filter("key = 0").agg(F.max("n")).first()[0]) or 0
-    hot = [r.key for r in heavy.filter((F.col("key") != 0) & (F.col("n") > max(64, total // HOT))).orderBy(F.desc("n"), "key").limit(2 * HOT).collect()]
+    hot = [r.key for r in heavy.filter((F.col("key") != 0) & (F.col("n") > max(64, total // HOT))).collect()]
     held = spark.sparkContext.broadcast(np.array(hot, np.int64).view(np.uint64))
     if groups is None:
         groups = min(GROUPS, max(64, -(-total // GROUP_WINDOWS)))
-    packed = texts.transform(in_arrow, lambda it: _super_kmers(it, held, groups, window, gram), "group long, data binary")
-    sorted_ = packed.repartition("group").sortWithinPartitions("group")
-    found = sorted_.transform(in_arrow, lambda it: _verdicts(it, window), "doc long, text_hash int, runs array<int>")
+    if salts is None:
+        salts = max(1, math.isqrt(total // STEP_WINDOWS))
+    bound_batches(spark)
+    packed = texts.transform(in_arrow, lambda it: _super_kmers(it, held, groups, salts, window, gram), "group long, data binary")
+    rows = "doc long, text_hash long, runs array<int>, group long, data binary"
+    judge = lambda df: df.repartition("group").sortWithinPartitions("group").transform(in_arrow, lambda it: _verdicts(it, groups, salts, window), rows)
+    first = materialise(judge(packed), "window-first")
+    second = judge(first.filter("data is not null").select("group", "data"))
+    found = first.filter("data is null").unionByName(second)
     found = found.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_h")).agg(F.collect_list("runs").alias("_runs"))
     found = materialise(found, "window-verdicts")
     row = F.struct("doc_id", F.coalesce("doc_id", F.lit(int(LAST))).alias("_doc"), F.col("h").alias("_h")).alias("row")
-    keyed = texts.select(row, "text").transform(in_arrow, _squeezed, "row struct<doc_id:bigint,_doc:bigint,_h:int>, data binary").select("row.*", "data")
+    keyed = texts.select(row, "text").transform(in_arrow, _squeezed, "row struct<doc_id:bigint,_doc:bigint,_h:bigint>, data binary").select("row.*", "data")
     joined = keyed.join(found, ["_doc", "_h"], "left").select("doc_id", "data", "_runs")
     out = joined.transform(in_arrow, lambda it: _removed(it, window), "doc_id long, n_words long, n_removed long, kept_text string")
     return out

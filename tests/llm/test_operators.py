@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, text_stats, token_counts, token_file, toxicity
@@ -154,12 +155,12 @@ def without_repeats(rows, n=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("groups", [None, 7])
-def test_repeats(odd, groups, monkeypatch):
+@pytest.mark.parametrize("groups, salts", [(None, None), (7, 1), (7, 5)])
+def test_repeats(odd, groups, salts, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", 50)  # so that hot minimisers occur
     last = 2**63 - 1
     want = without_repeats([(last if r.doc_id is None else r.doc_id, r.text) for r in odd.collect()])
-    got = substring_dedup.digest(substring_dedup.remove_repeats(odd, groups=groups)).fillna({"doc_id": last})
+    got = substring_dedup.digest(substring_dedup.remove_repeats(odd, groups=groups, salts=salts)).fillna({"doc_id": last})
     assert table(got, "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
@@ -167,6 +168,20 @@ def test_repeats_of_nothing(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_hot_windows_are_compared_in_two_rounds():
+    text = np.frombuffer(b"a b c d e", np.uint8)
+    copies = [substring_dedup.pack(np.array([d]), np.array([0]), np.array([2 * d], np.int32), np.array([2], np.int32), text) for d in range(40)]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary())], ["group", "data"])
+    dealt = sorted((7 + 3 * 4 + d % 4, x) for d, x in enumerate(copies))  # bucket group 3 of 7, in 4 parts
+    first = pa.Table.from_batches(substring_dedup._verdicts([batch(dealt)], 7, 4, 4)).to_pylist()
+    left = [(r["group"], r["data"]) for r in first if r["data"]]
+    assert len(left) == 4 and {g for g, _ in left} == {3}  # a least copy of each part
+    second = pa.Table.from_batches(substring_dedup._verdicts([batch(left)], 7, 4, 4)).to_pylist()
+    assert all(r["data"] is None for r in second)
+    gone = sorted((r["doc"], r["runs"]) for r in first + second if r["data"] is None)
+    assert gone == [(d, [2 * d, 2 * d + 2]) for d in range(1, 40)]
+
+
 def test_equal_hashes_of_different_windows_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring_dedup, "rolled", lambda h, k, seed: np.zeros(max(0, len(h) - k + 1), np.uint64))
     a, b = b"a b c d e", b"a b x d e"
