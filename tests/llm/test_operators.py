@@ -1,6 +1,7 @@
 """The operators against brute force on small corpora."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 
 from corpusloom.llm import decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, text_stats, token_counts, token_file, toxicity
 from corpusloom.llm.bytewords import Splitter
@@ -505,6 +507,37 @@ def test_mixing_small_sources(spark, monkeypatch):
     assert all(abs(sums[s] - plan[s]) <= 1 for s, _ in sizes)
 
 
+def mixed_by_hand(rows):
+    """What the mix takes of each row (doc_id, source, size, h, tie), slot by slot and word by word."""
+    sources = defaultdict(list)
+    for r in rows:
+        sources[r.source].append(r)
+    plan = mixing.targets([(s, sum(r.size for r in rs)) for s, rs in sources.items()])
+    names = sorted(s for s in plan if s is not None) + [None] * (None in plan)
+    want = sum(plan.values())
+    n_slots = round(want / max(1, min(mixing.BLOCK, int(want // mixing.LEAST_SLOTS))))
+    bounds, slots, out = [sum(plan[s] / want for s in names[: i + 1]) for i in range(len(names) - 1)], Counter(), []
+    for i in range(n_slots):
+        slots[names[sum(b <= (i + 0.5) * mixing.GOLDEN % 1.0 for b in bounds)]] += 1
+    for s, rs in sources.items():
+        chunks = math.isqrt(len(rs))
+        rs = sorted(rs, key=lambda r: ((r.h >> 20) % chunks, r.h, r.doc_id is not None, r.doc_id or 0, r.tie, r.size))  # noqa: B023
+        words = [k for k, r in enumerate(rs) for _ in range(r.size)]
+        goal, took, at = round(plan[s]), Counter(), 0
+        for k in range(slots[s]):
+            for _ in range(goal // slots[s] + (k < goal % slots[s])):
+                took[words[at % len(words)]] += 1
+                at += 1
+        out += [(r.doc_id, r.size, len(words), plan[s], took[k]) for k, r in enumerate(rs)]
+    return sorted(out, key=str)
+
+
+def test_mixing_equals_a_walk_through_the_slots(docs):
+    keyed = docs.selectExpr("doc_id", "source", "text", "xxhash64(doc_id, 17) AS h", "xxhash64(text) AS tie").collect()
+    rows = [Row(doc_id=r.doc_id, source=r.source, size=len(split(r.text)), h=r.h, tie=r.tie) for r in keyed]
+    assert table(mixing.taken(docs), "doc_id", "size", "source_size", "target", "taken") == mixed_by_hand(rows)
+
+
 def test_schedule_has_low_discrepancy(spark):
     shares = [0.5, 0.8, 1.0]
     slots = mixing.schedule(spark, shares, 200_000).collect()
