@@ -476,7 +476,6 @@ def java_index(spark, sf_dir):
 
     c, name = F.concat, F.concat(F.lit("Part"), F.col("p_partkey").cast("string"))
     source = c(F.lit("package p;\nimport q.Part0;\npublic class "), name, F.lit(" {\n  private int size = "), F.col("p_size").cast("string"), F.lit(";\n  /* void no() {} */\n  public int total(int n) {\n    return scale(n) + \"x();\".length();\n  }\n}\n"))
-    files = _t(spark, sf_dir, "part").select(c(F.lit("p/"), name, F.lit(".java")).alias("path"), source.alias("text"))
-    frags = udtf.java_fragments(files, "path", "text").select("path", F.col("kind"), "symbol", F.col("signature").alias("detail"))
-    edges = udtf.java_edges(files, "path", "text").select("path", "kind", F.col("src_symbol").alias("symbol"), F.col("dst_symbol").alias("detail"))
-    return frags.unionByName(edges)
+    part = R.dealt(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    files = part.select(c(F.lit("p/"), name, F.lit(".java")).alias("path"), source.alias("text"))
+    return udtf.java_index(files, "path", "text")

@@ -38,16 +38,27 @@ def java_fragments(df: DataFrame, key: str, column: str) -> DataFrame:
     return table_function(df, [key], column, java.fragments, schema.JAVA_FRAGMENT)
 
 
+def _java_edges(text: str, found: java.Scan) -> Iterable[dict]:
+    """A file's edges, each once."""
+    types = {d.symbol for d in found.declarations if d.kind == "class"}
+    inside = [{"src_symbol": d.symbol.rsplit(".", 1)[0], "dst_symbol": d.symbol, "kind": "contains"} for d in found.declarations if d.kind == "method" and d.symbol.rsplit(".", 1)[0] in types]
+    return {tuple(e.values()): e for e in [*java.edges(text, found), *inside]}.values()
+
+
 def java_edges(df: DataFrame, key: str, column: str) -> DataFrame:
-    """imports, calls, and what types contain: a method whose owner is a type of the same file."""
+    """imports, calls, and what types contain: a method whose owner is a type of the same file. An edge comes once for each file."""
+    return table_function(df, [key], column, lambda text: _java_edges(text, java.scan(text)), schema.JAVA_EDGE)
+
+
+def java_index(df: DataFrame, key: str, column: str) -> DataFrame:
+    """kind, symbol, detail of a file's fragments (with their signatures) and edges (with their other ends), by one scan of each file."""
 
     def parse(text):
         found = java.scan(text)
-        types = {d.symbol for d in found.declarations if d.kind == "class"}
-        inside = [{"src_symbol": d.symbol.rsplit(".", 1)[0], "dst_symbol": d.symbol, "kind": "contains"} for d in found.declarations if d.kind == "method" and d.symbol.rsplit(".", 1)[0] in types]
-        return [*java.edges(text, found), *inside]
+        yield from ({"kind": f["kind"], "symbol": f["symbol"], "detail": f["signature"]} for f in java.fragments(text, found))
+        yield from ({"kind": e["kind"], "symbol": e["src_symbol"], "detail": e["dst_symbol"]} for e in _java_edges(text, found))
 
-    return table_function(df, [key], column, parse, schema.JAVA_EDGE).distinct()
+    return table_function(df, [key], column, parse, schema.JAVA_INDEX)
 
 
 def embed_text(model):

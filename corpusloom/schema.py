@@ -32,3 +32,4 @@ SECTION = T.StructType([
 ])
 JAVA_FRAGMENT = _struct(("kind", _S, False), ("symbol", _S, False), ("signature", _S, True), ("line_start", _I, True), ("line_end", _I, True), ("content", _S, True))
 JAVA_EDGE = _struct(("src_symbol", _S, False), ("dst_symbol", _S, False), ("kind", _S, False))
+JAVA_INDEX = _struct(("kind", _S, False), ("symbol", _S, False), ("detail", _S, True))

@@ -1,3 +1,7 @@
+from pyspark.sql import functions as F
+
+from corpusloom import catalog
+from corpusloom.functions import udtf
 from corpusloom.sources import java
 
 SOURCE = '''package shop;
@@ -62,3 +66,33 @@ def test_unfinished_source_ends():
     for cut in range(0, len(SOURCE), 17):
         java.fragments(SOURCE[:cut])
         java.edges(SOURCE[:cut])
+
+
+def test_fragments_take_the_scans_tokens(monkeypatch):
+    found, want = java.scan(SOURCE), java.fragments(SOURCE)
+    monkeypatch.setattr(java, "tokens", None)
+    assert java.fragments(SOURCE, found) == want
+
+
+def test_index_is_fragments_and_edges_of_one_scan(spark):
+    files = spark.createDataFrame([("a", SOURCE), ("b", "class A { void f() { g(); g(); } }"), ("c", None), (None, "import x.Y;")], "path string, text string")
+    got = udtf.java_index(files, "path", "text")
+    frags = udtf.java_fragments(files, "path", "text").select("path", "kind", "symbol", F.col("signature").alias("detail"))
+    edges = udtf.java_edges(files, "path", "text").select("path", "kind", F.col("src_symbol").alias("symbol"), F.col("dst_symbol").alias("detail"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(frags.unionByName(edges))
+    assert [tuple(r) for r in got.where("path = 'b' AND kind = 'calls'").collect()] == [("b", "calls", "A.f", "g")]
+
+
+def one_row_group(spark, path, rows=2000):
+    """A part table in one row group, which one task reads."""
+    spark.range(rows).selectExpr("id AS p_partkey", "'old plate' AS p_name", "'Brand#1' AS p_brand", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def test_files_are_parsed_by_many_tasks(spark, tmp_path):
+    got = catalog.QUERIES["java_index"](spark, one_row_group(spark, tmp_path))
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 4 and max(r["count"] for r in tasks) <= 6 * 2000 / 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
