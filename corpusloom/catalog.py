@@ -307,7 +307,8 @@ def ancestor_dirs(spark, sf_dir):
 def _deep_dirs(spark, sf_dir):
     """A deep tree: the digits of an order's key as nested directories, below two links that hold nothing else."""
     digits = F.regexp_replace(F.col("o_orderkey").cast("string"), "(.)", "/$1")
-    return _t(spark, sf_dir, "orders").select(F.concat(F.lit("a/b"), digits).alias("dir"))
+    orders = R.dealt(_t(spark, sf_dir, "orders").select("o_orderkey"), F.floor(F.col("o_orderkey") / 1000))  # neighbours share their ancestors
+    return orders.select(F.concat(F.lit("a/b"), digits).alias("dir"))
 
 
 _TREE = """

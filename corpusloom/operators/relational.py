@@ -16,7 +16,7 @@ def scoped(df: DataFrame, repo: str | None, default: str | None = None, column:
     return df.where(F.col(column) == F.lit(wanted)) if wanted else df
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str | Column) -> DataFrame:
     """The rows dealt to many tasks by their keys, before a step that costs much for each row: a file's row group is else read, and worked on, by one task.
 
     The number is given outright, since adaptive execution joins tasks by the bytes they read, which are few here. Keys should tell rows apart.
