@@ -454,7 +454,7 @@ def html_tables_md(spark, sf_dir):
     """Pages with a table each, built of parts: as HTML, and as the markdown that says the same."""
     from corpusloom.functions import udtf
 
-    part = _t(spark, sf_dir, "part")
+    part = R.dealt(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
     c = F.concat
     rows = part.select("p_partkey", c(F.lit("<h1>"), "p_name", F.lit("</h1><table><tr><th>Brand</th><th>Size</th></tr><tr><td>"), "p_brand", F.lit("</td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr></table>")).alias("html"))
     md = part.select("p_partkey", c(F.lit("# "), "p_name", F.lit("\n\n| Brand | Size |\n| --- | --- |\n| "), "p_brand", F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |\n")).alias("md"))

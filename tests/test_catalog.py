@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom import catalog
 
@@ -52,3 +53,12 @@ def test_area_counts_read_one_column(spark):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_pages_of_parts_are_parsed_by_many_tasks(spark, tmp_path):
+    """A part table in one row group, which one task reads."""
+    spark.range(2000).selectExpr("id AS p_partkey", "'old plate' AS p_name", "'Brand#1' AS p_brand", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["html_tables_md"](spark, str(tmp_path))
+    for format in ("html", "md"):
+        counts = [r["count"] for r in got.where(got["format"] == format).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == 2000 and len(counts) >= 4 and max(counts) <= 1000
